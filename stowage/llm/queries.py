@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, langid, linededup, mixing, secrets, setsketch, syncmers, toxicity
+from . import bpe, knn, langid, linededup, lm, mixing, secrets, setsketch, syncmers, toxicity
 from .common import cut, n_words, table
 
 
@@ -61,6 +61,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_top_k, op4_secrets, op5_language_id, op6_line_dedup, op7_toxicity, op9_near_duplicates, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_top_k, op4_secrets, op5_language_id, op6_line_dedup, op7_toxicity, op8_lm_score, op9_near_duplicates, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
