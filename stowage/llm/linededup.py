@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Boilerplate: in more than this part of a host's pages, of which there are MIN_PAGES at least.
-RATIO, MIN_PAGES = 0.2, 5
+RATIO, MIN_PAGES = 0.1, 10
 #: The boilerplate lists go to all executors only while they hold no more lines than this (16 bytes each).
 BROADCAST_LINES = 200_000
 #: Pages of a host for each salt where the lists are joined by a shuffle instead.
 PAGES_A_SALT = 10_000
 
-_BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_BLANKS = " \t\n\v\f\r"
 
 
 def host_of(url: Column) -> Column:
@@ -42,7 +42,7 @@ def html_lines(html: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    bare = F.regexp_replace(line, _BLANK, "")
+    bare = F.btrim(line, F.lit(_BLANKS))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(7), bare).alias("b")))
 
 
