@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, knn, langid, linededup, lm, mixing, secrets, setsketch, syncmers, toxicity
-from .common import cut, n_words, table
+from .common import cut, n_words, stored, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
-    kept = linededup.drop_boilerplate(pages)
+    kept = linededup.drop_boilerplate(stored(pages))  # the HTML is parsed once
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
