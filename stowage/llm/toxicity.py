@@ -8,7 +8,7 @@ text. All overlapping windows of every text are scored.
 
 The network is fitted on the driver on at most FIT_ROWS toxic and CLEAN times as many clean
 labelled rows, of FIT_LENGTH code points at most, picked by a hash of the key. Each round backpropagates
-through a toxic text's highest window and a clean text's few highest. A fifth of the rows is set aside
+through a toxic text's highest window and a clean text's few highest, among those that promise most. A fifth of the rows is set aside
 to choose the score that becomes 0.5. The word vectors' first number starts as the word's log-odds.
 
 Defined results: null or empty text, and text without a word, scores the share of toxic labels, below
@@ -31,11 +31,14 @@ from pyspark.sql import types as T
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 6
 INPUT = WORD_DIM + CHAR_DIM + 2
-WORD_BUCKETS, CHAR_BUCKETS, GRAMS = 1 << 15, 1 << 16, (3, 4, 5)
+WORD_BUCKETS, CHAR_BITS, GRAMS = 1 << 15, 16, (3, 4, 5)
+CHAR_BUCKETS = 1 << CHAR_BITS
 #: Bounds of the fit.
 FIT_ROWS, CLEAN, FIT_LENGTH, SEED = 1500, 3, 100_000, 11
 #: At least ROUNDS over the rows, and more, up to MOST_ROUNDS, until there were STEPS updates.
 ROUNDS, MOST_ROUNDS, STEPS = 10, 60, 500
+#: Windows of a text that take part in the fit, by each of two orders; all count when the threshold is set.
+PROMISING = 3
 #: A wrongly flagged clean text weighs this much against a missed toxic one in the choice of the threshold.
 FALSE_ALARM = 3.0
 #: Words whose input a worker keeps, and windows read at once.
@@ -54,13 +57,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets; n-gram buckets of all words; where each word's n-grams start."""
-    word, grams, starts = [], [], []
-    for w in vocabulary:
-        word.append(zlib.crc32(w.encode()) % WORD_BUCKETS)
-        starts.append(len(grams))
-        c = f"^{w[:WINDOW]}$"
-        grams += [zlib.crc32(c[i : i + k].encode()) % CHAR_BUCKETS for k in GRAMS for i in range(len(c) - k + 1)]
-    return np.array(word, np.int64), np.array(grams, np.int64), np.array(starts, np.int64)
+    word = np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in vocabulary], np.int64)
+    marked = [f"^{w[:WINDOW]}$" for w in vocabulary]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
+    ids, of, h = [], [], points
+    for k in range(2, max(GRAMS) + 1):
+        if len(points) < k:
+            break
+        h = h[:-1] * np.uint32(0x01000193) + points[k - 1 :]
+        if k in GRAMS:
+            inside = owner[: len(h)] == owner[k - 1 :]
+            ids.append((((h + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))[inside].astype(np.int64))
+            of.append(owner[: len(h)][inside])
+    if not ids:
+        return word, np.empty(0, np.int64), np.empty(0, np.int64)
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return word, np.concatenate(ids)[order], np.searchsorted(of[order], np.arange(len(marked)))
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all spans, one after the other."""
+    return np.repeat(starts - np.cumsum([0, *sizes[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, as an array of n rows."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Net:
@@ -131,7 +161,7 @@ class Net:
         gs = alpha * (ga - (alpha * ga).sum(1, keepdims=True))
         d["v"] = np.einsum("bt,tbh->h", gs, states)
         gstates = alpha.T[:, :, None] * gp[None] + gs.T[:, :, None] * self.p["v"]
-        gx = {way: np.zeros_like(x[way]) for way in "fb"}
+        gx: dict[str, list] = {"f": [], "b": []}
         for way in "fb":
             d[f"u{way}"] = np.zeros_like(self.p[f"u{way}"])
         carry, last = None, None
@@ -149,10 +179,11 @@ class Net:
             d[f"u{way}"][:, : 2 * h] += state.T @ gzr
             d[f"u{way}"][:, 2 * h :] += state.T @ ghn
             carry = gh * (1 - m * (1 - z)) + gzr @ u[:, : 2 * h].T + ghn @ u[:, 2 * h :].T
-            np.add.at(gx[way], ids[:, k], np.hstack([gzr, gn]))
+            gx[way].append((k, np.hstack([gzr, gn])))
+        out = {way: summed(np.concatenate([ids[:, k] for k, _ in own]), np.vstack([r for _, r in own]), len(x[way])) for way, own in gx.items()}
         for way in "fb":
-            gx[way][0] = 0
-        return d, gx
+            out[way][0] = 0
+        return d, out
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -191,18 +222,30 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
     if not (0 < y[learns].sum() < learns.sum()):
         learns[:] = True
     net.p["word"][:, 0] = odds(lambda w: word[w], WORD_BUCKETS, 8)
-    net.odds = odds(lambda w: np.concatenate([grams[ends[i] : ends[i + 1]] for i in w.tolist()]) if len(w) else grams[:0], CHAR_BUCKETS, 12)
-    wins = [windows(ids) for ids in texts_ids]
+    net.odds = odds(lambda w: grams[spans(ends[w], ends[w + 1] - ends[w])] if len(w) else grams[:0], CHAR_BUCKETS, 12)
+    # a text's windows that promise most by the log-odds of their words, whose logits choose among them
+    hint = np.zeros(len(word) + 1, np.float32)
+    hint[1:] = net.p["word"][word, 0] + (np.maximum.reduceat(net.odds[grams], starts) if len(word) else 0)
+    every = [windows(ids) for ids in texts_ids]
+    wins = []
+    for w in every:
+        h = hint[w]
+        picks = {*np.argsort(-h.max(1), kind="stable")[:PROMISING].tolist(), *np.argsort(-h.sum(1), kind="stable")[:PROMISING].tolist()}
+        wins.append(w[sorted(picks)])
     flat, owner = np.vstack(wins), np.repeat(np.arange(len(wins)), [len(w) for w in wins])
     first = np.cumsum([0, *[len(w) for w in wins]])
+    used, near = np.unique(flat, return_inverse=True)
+    used, near = (used[1:], near) if used[0] == 0 else (used, near + 1)
+    near, used = near.reshape(flat.shape), used - 1
+    held = word[used], grams[spans(ends[used], ends[used + 1] - ends[used])], np.cumsum([0, *(ends[used + 1] - ends[used])[:-1]])
     moment: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     rng, step = np.random.default_rng(seed), 0
     share = len(y) / (2 * np.array([len(y) - y.sum(), y.sum()]))
     for round_ in range(MOST_ROUNDS):
         if round_ >= ROUNDS and step >= STEPS:
             break
-        x = net.projected(net.inputs(word, grams, starts))
-        logits = np.concatenate([net.run(x, flat[i : i + BLOCK]) for i in range(0, len(flat), BLOCK)])
+        x = net.projected(net.inputs(*held))
+        logits = np.concatenate([net.run(x, near[i : i + BLOCK]) for i in range(0, len(near), BLOCK)])
         picked = []
         for k in np.flatnonzero(learns).tolist():
             own = logits[first[k] : first[k + 1]]
@@ -217,8 +260,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
                 used, ids = np.concatenate([[0], used]), ids + 1
             own = used[1:] - 1
             sizes = ends[own + 1] - ends[own]
-            g_at = np.repeat(ends[own] - np.cumsum([0, *sizes[:-1]]), sizes) + np.arange(sizes.sum())
-            sub = word[own], grams[g_at], np.cumsum([0, *sizes[:-1]])
+            sub = word[own], grams[spans(ends[own], sizes)], np.cumsum([0, *sizes[:-1]])
             inp = net.inputs(*sub)
             x = net.projected(inp)
             logit, kept = net.run(x, ids, keep=True)
@@ -229,9 +271,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
             for way in "fb":
                 d[f"w{way}"], d[f"a{way}"] = inp.T @ gx[way][1:], gx[way][1:].sum(0)
                 gin += gx[way][1:] @ net.p[f"w{way}"].T
-            d["word"], d["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(d["word"], sub[0], gin[:, :WORD_DIM])
-            np.add.at(d["char"], sub[1], np.repeat(gin[:, WORD_DIM:-2] / sizes[:, None], sizes, axis=0).astype(np.float32))
+            d["word"] = summed(sub[0], gin[:, :WORD_DIM], WORD_BUCKETS)
+            d["char"] = summed(sub[1], np.repeat(gin[:, WORD_DIM:-2] / sizes[:, None], sizes, axis=0), CHAR_BUCKETS)
             step += 1
             for k, gk in d.items():
                 m, v = moment[k]
@@ -241,12 +282,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
                 net.p[k] -= (rate_k * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     # the logit that parts the classes best becomes 0, on rows set aside where they have both classes
     x = net.projected(net.inputs(word, grams, starts))
+    judged = np.flatnonzero(~learns if min((y[~learns] == 1).sum(), (y[~learns] == 0).sum()) >= 5 else np.ones(len(y), bool))
+    flat = np.vstack([every[i] for i in judged])
+    first = np.cumsum([0, *[len(every[i]) for i in judged]])
     logits = np.concatenate([net.run(x, flat[i : i + BLOCK]) for i in range(0, len(flat), BLOCK)])
-    top = np.maximum.reduceat(logits, first[:-1])
-    judged = ~learns if min((y[~learns] == 1).sum(), (y[~learns] == 0).sum()) >= 5 else np.ones(len(y), bool)
-    order = np.sort(top[judged])
+    top, y = np.maximum.reduceat(logits, first[:-1]), y[judged]
+    order = np.sort(top)
     edges = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
-    clean, bad = np.sort(top[judged & (y == 0)]), np.sort(top[judged & (y == 1)])
+    clean, bad = np.sort(top[y == 0]), np.sort(top[y == 1])
     cost = FALSE_ALARM * (1 - np.searchsorted(clean, edges) / len(clean)) + np.searchsorted(bad, edges) / len(bad)
     best = np.flatnonzero(cost <= cost.min() + 1e-9)
     net.p["c"] = net.p["c"] - np.float32(edges[best[len(best) // 2]])
