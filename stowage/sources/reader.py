@@ -31,7 +31,6 @@ PARSERS: dict[str, Callable] = {
     "xar": _lazy("xar"),
     "7z": _lazy("sevenzip"),
     "iso": _lazy("iso"),
-    "udf": _lazy("udf"),
     "cfb": _lazy("cfb"),
     "wim": _lazy("wim"),
     "chm": _lazy("chm"),
@@ -41,7 +40,6 @@ PARSERS: dict[str, Callable] = {
     "macbinary": _lazy("mac", "parse_macbinary"),
     "applesingle": _lazy("mac", "parse_applesingle"),
     "binhex": _lazy("mac", "parse_binhex"),
-    "dmg": _lazy("dmg"),
 }
 
 
