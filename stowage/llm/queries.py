@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, knn, langid, linededup, lm, mixing, secrets, setsketch, syncmers, toxicity
 from .common import cut, n_words, stored, table
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries", "tokenizer_path"]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,3 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_top_k, op4_secrets, op5_language_id, op6_line_dedup, op7_toxicity, op8_lm_score, op9_near_duplicates, op10_fingerprints)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
