@@ -47,6 +47,10 @@ def _located(gaps: Column, hits: Column) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(pairs, first, step, lambda a: a["out"])).otherwise(first["out"])
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda p: F.struct(p["s"].alias("s"), F.lit(kind).alias("k"), p["e"].alias("e")))
+
+
 def _strong(rows: DataFrame) -> DataFrame:
     """rows with __base: sorted strong spans as structs (s, k, e)."""
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
@@ -60,7 +64,7 @@ def _strong(rows: DataFrame) -> DataFrame:
         if name == "assign":
             both = F.zip_with(kept, F.coalesce("__values", F.expr("cast(array() as array<string>)")), lambda p, v: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.length(v).alias("n")))
             kept = F.filter(both, lambda p: p["n"] >= ASSIGN_LEAST)
-        spans.append(F.transform(kept, lambda p, k=k: F.struct(p["s"].alias("s"), F.lit(k).alias("k"), p["e"].alias("e"))))
+        spans.append(_of_kind(kept, k))
     return rows.withColumn("__base", F.array_sort(F.concat(*spans)))
 
 
