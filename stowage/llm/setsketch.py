@@ -7,8 +7,9 @@
    two sets are.
 3. Bands of ROWS registers put classes into buckets. In each bucket all are compared with its least
    member; what turns out alike is one component. Buckets that still hold several components are then
-   compared in full, on their sketches, in blocks. So buckets of true copies cost one comparison a
-   member, and still no candidate pair goes unexamined.
+   compared in full, on their sketches, in blocks; components with a likely pair meet on full sets, also
+   in blocks. So buckets of true copies cost one comparison a member, what is moved never grows with
+   the square of a group, and still no candidate pair goes unexamined.
 4. The likeness of a pair is first estimated from its registers and the known set sizes by maximum
    likelihood; pairs far below the threshold go. The others are confirmed on full sets.
 5. Components come from alternating large-star and small-star steps, by shuffles only.
@@ -211,9 +212,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that hold on full sets: 100 * intersection >= percent * union."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, items): full shingle sets of the documents with those ids."""
+    needed = cut(ids.select("id").distinct())
     few = needed.count() <= BROADCAST_KEYS
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(needed) if few else needed, "id", "left_semi")
 
@@ -224,7 +225,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
                 sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = texts.mapInArrow(make, "id long, items binary")
+    return texts.mapInArrow(make, "id long, items binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that hold on full sets: 100 * intersection >= percent * union."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, key, text, size)
     # a star's centre is sent once to each part of its members, and read before them
     stars = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = stars.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("member"))
@@ -276,7 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) between components that share a bucket."""
+    """Pairs of components (a, b) that share a bucket and in it a likely pair of members."""
     marked = banded.join(settled, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     marked = cut(marked)
     mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -286,7 +292,7 @@ def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: fl
     rows = members.withColumn("meet", F.explode(F.array_distinct(meets))).select("key", "meet.x", "meet.y", "block", "id", "label").join(reps.select("id", "n", "sketch"), "id")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
-    def compare(group: list[tuple], out: list[tuple]) -> None:
+    def compare(group: list[tuple], out: set[tuple]) -> None:
         ids, labels, n = (np.array([g[i] for g in group]) for i in (1, 2, 3))
         blocks = np.array([g[5] for g in group])
         x, y = group[0][0][1:]
@@ -299,12 +305,12 @@ def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: fl
                 j = j[(k[j] == k[i]).sum(1) >= (least - MARGIN) * REGISTERS]
             if len(j):
                 near = estimate(np.broadcast_to(k[i], (len(j), REGISTERS)), k[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= least
-                out += [(int(ids[i]), int(b)) for b in ids[j[near]]]
+                out.update((min(int(labels[i]), b), max(int(labels[i]), b)) for b in np.unique(labels[j[near]]).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
+            out: set[tuple] = set()
             c = {name: batch.column(name).to_pylist() for name in ("key", "x", "y", "block", "id", "label", "n", "sketch")}
             for row in zip(zip(c["key"], c["x"], c["y"]), c["id"], c["label"], c["n"], c["sketch"], c["block"]):
                 if group and group[0][0] != row[0]:
@@ -313,13 +319,67 @@ def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: fl
                 group.append(row)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
         if group:
-            out = []
+            out = set()
             compare(group, out)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _crossed(combos: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """A confirmed link (a, b) for each document of a component that is linked with the other one of a pair.
+
+    The larger component of each pair stays in blocks, and the documents of all its partners, in blocks
+    too, meet each of them once, on full sets. What is moved grows with the members, not with their pairs.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    both = combos.join(sizes.toDF("a", "na"), "a", "left").join(sizes.toDF("b", "nb"), "b", "left").fillna(1, ["na", "nb"])
+    big = F.col("na") >= F.col("nb")
+    sided = cut(both.select(F.when(big, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(big, F.col("b")).otherwise(F.col("a")).alias("other")))
+    member = lambda c: sided.select("home", c).distinct().join(labels.select(F.col("label").alias(c), "id"), c, "left").select("home", F.coalesce("id", c).alias("id"))
+    homes, guests = cut(sided.select("home").distinct().join(labels.select(F.col("label").alias("home"), "id"), "home", "left").select("home", F.coalesce("id", "home").alias("id"))), cut(member("other").distinct())
+    parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("hs")).join(guests.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("gs")), "home")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = homes.join(parts, "home").select("home", own("hs").alias("h"), every("gs").alias("g"), F.lit(0).alias("guest"), "id").unionByName(guests.join(parts, "home").select("home", every("hs").alias("h"), own("gs").alias("g"), F.lit(1).alias("guest"), "id"))
+    sets = _sets(homes.select("id").unionByName(guests.select("id")), docs, key, text, size)
+    rows = rows.join(sets, "id").repartition("home", "h", "g").sortWithinPartitions("home", "h", "g", "guest", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, held = None, [], []
+        table: tuple | None = None
+        for batch in batches:
+            a, b = [], []
+            c = {n: batch.column(n).to_pylist() for n in ("home", "h", "g", "guest", "id", "items")}
+            for here, guest, i, items in zip(zip(c["home"], c["h"], c["g"]), c["guest"], c["id"], c["items"]):
+                if here != place:
+                    place, ids, held, table = here, [], [], None
+                s = np.frombuffer(items, _U)
+                if not guest:
+                    ids.append(i)
+                    held.append(s)
+                    continue
+                if not held:
+                    continue
+                if table is None:  # all items of the block with their owners, sorted
+                    items_, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+                    order = np.argsort(items_, kind="stable")
+                    table = items_[order], owner[order], np.array([len(x) for x in held])
+                all_, owner, n = table
+                left, right = np.searchsorted(all_, s), np.searchsorted(all_, s, side="right")
+                width = right - left
+                hits = np.repeat(left - np.cumsum([0, *width[:-1]]), width) + np.arange(width.sum())
+                both = np.bincount(owner[hits], minlength=len(n))
+                good = np.flatnonzero(100 * both >= percent * (n + len(s) - both)) if len(s) else []
+                good = [k for k in good if ids[k] != i]
+                if good:
+                    a.append(ids[good[0]])
+                    b.append(i)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(rows.select("home", "h", "g", "guest", "id", "items").mapInArrow(run, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row; documents are linked if 100 * intersection >= percent * union."""
     least = max(0.05, percent / 100 - MARGIN)
@@ -331,8 +391,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = cut(banded.join(heads, "key"))
     star = cut(_likely(shared.where("id != a").select("a", F.col("id").alias("b")).distinct(), reps, least))
     edges = _confirmed(star, docs, key, text, size, percent)
-    rest = _unsettled(shared.select("key", "id"), components(edges), reps, least).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    edges = edges.unionByName(_confirmed(cut(rest), docs, key, text, size, percent))
+    settled = cut(components(edges))
+    combos = cut(_unsettled(shared.select("key", "id"), settled, reps, least))
+    edges = edges.unionByName(_crossed(combos, settled, docs, key, text, size, percent))
     label = components(edges)
     named = reps.select("sig", F.col("id").alias("rep")).join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("component"))
     out = base.select("id", "n", "sig").join(named, "sig", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
