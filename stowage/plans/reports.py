@@ -14,7 +14,7 @@ def one_line(text: Column) -> Column:
     for raw, shown in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         out = F.replace(out, F.lit(raw), F.lit(shown))
     odd = [*range(0, 9), 11, 12, *range(14, 32), *range(127, 160), 0x061C, 0x200E, 0x200F, *range(0x2028, 0x202F), *range(0x2066, 0x206A)]
-    escaped = F.transform(F.split(out, ""), lambda c: F.when(F.array_contains(F.array(*[F.lit(chr(i)) for i in odd]), c), F.concat(F.lit("\\u{"), F.lower(F.hex(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))), F.lit("}"))).otherwise(c))
+    escaped = F.transform(F.split(out, ""), lambda c: F.when(F.array_contains(F.array(*[F.lit(chr(i)) for i in odd]), c), F.concat(F.lit("\\u{"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "^0{1,3}", ""), F.lit("}"))).otherwise(c))
     return F.when(out.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f؜‎‏ -‮⁦-⁩]"), F.array_join(escaped, "")).otherwise(out)
 
 

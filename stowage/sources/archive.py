@@ -189,4 +189,6 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Registers the source and allows filters on archive_path, index, kind and name prefixes to reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)
