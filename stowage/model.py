@@ -50,6 +50,7 @@ class Options:
     scan_sfx: bool = True
     max_sfx_scan: int = 1 << 20
     timezone: str = "UTC"
+    volume_starts: tuple[int, ...] = ()  # where the volumes of a joined set begin
     limits: Limits = field(default_factory=Limits)
 
     @classmethod
@@ -59,7 +60,7 @@ class Options:
         out = cls()
         for holder in (out, out.limits):
             for f in fields(holder):
-                if (v := low.get(f.name.replace("_", ""))) is not None and f.name != "limits":
+                if (v := low.get(f.name.replace("_", ""))) is not None and f.name not in ("limits", "volume_starts"):
                     now = getattr(holder, f.name)
                     setattr(holder, f.name, v.lower() == "true" if isinstance(now, bool) else int(v) if isinstance(now, int) else v)
         return out

@@ -7,6 +7,7 @@ entry, that fails becomes a row with an error. Nothing is shuffled here.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -168,7 +169,13 @@ class ArchiveReader(DataSourceReader):
                 except ValueError:
                     buf = memoryview(b"")
         else:
-            buf = memoryview(b"".join(open(p, "rb").read() for p in partition.paths))
+            volumes = []
+            for p in partition.paths:
+                with open(p, "rb") as f:
+                    volumes.append(f.read())
+            buf = memoryview(b"".join(volumes))
+            if partition.paths[-1].lower().endswith((".zip", ".zipx")):
+                name, opts.volume_starts = partition.paths[-1], tuple(accumulate([0, *map(len, volumes[:-1])]))
             name = name.removesuffix(".001") if name.endswith(".001") else name
         made = (r for r in reader.rows(name, buf, opts, content) if self._passes(r, ("index", "kind", "name")))
         yield from _batched(made, to_arrow_schema(self.schema))

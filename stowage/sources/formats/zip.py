@@ -13,8 +13,11 @@ from ..fields import dos_time, filetime, le, take
 METHODS = {0: "stored", 1: "shrink", 2: "reduce1", 3: "reduce2", 4: "reduce3", 5: "reduce4", 6: "implode", 8: "deflate", 9: "deflate64", 12: "bzip2", 14: "lzma", 20: "zstd", 93: "zstd", 95: "xz", 96: "jpeg", 98: "ppmd"}
 
 
-def find_end(buf) -> tuple[int, dict]:
-    """Place and fields of the end record, ZIP64 values in place; `base` is the length of a foreign prefix."""
+def find_end(buf, starts: tuple[int, ...] = ()) -> tuple[int, dict]:
+    """Place and fields of the end record, ZIP64 values in place; `base` is the length of a foreign prefix.
+
+    starts are the places of the volumes of a split archive, to which its offsets are relative.
+    """
     n = len(buf)
     tail = bytes(buf[max(0, n - 65557) :])
     first = n - len(tail)
@@ -38,6 +41,10 @@ def find_end(buf) -> tuple[int, dict]:
                 break
         else:
             raise malformed("ZIP64 end record")
+    if len(starts) > 1 and end["disk"]:
+        if end["disk"] + 1 != len(starts) or end["cd_disk"] >= len(starts):
+            raise malformed(f"ZIP volume count {end['disk'] + 1}")
+        end["offset"] += starts[end["cd_disk"]]
     end["base"] = stop - end["size"] - end["offset"]
     if end["base"] < 0:
         raise malformed("central directory outside the file")
@@ -171,7 +178,7 @@ def _reader(buf, base: int, e: Entry, how: dict, opts: Options):
 
 def parse(buf, name: str | None, opts: Options) -> Archive:
     try:
-        _, end = find_end(buf)
+        _, end = find_end(buf, opts.volume_starts)
         if end["count"] > opts.limits.max_entries:
             raise ArchiveError("limitExceeded", "ZIP entry count")
         return _listed(buf, end, opts)
@@ -191,6 +198,10 @@ def _listed(buf, end: dict, opts: Options) -> Archive:
         n, x, c = le(r, 28, 2), le(r, 30, 2), le(r, 32, 2)
         body = take(buf, at + 46, n + x + c)
         e, how = _entry(r, body[:n], body[n : n + x], opts)
+        if len(opts.volume_starts) > 1:
+            if how["disk"] >= len(opts.volume_starts):
+                raise malformed("ZIP volume number")
+            how["offset"] += opts.volume_starts[how["disk"]]
         e.read = _reader(buf, end["base"], e, how, opts)
         e.record = _record(buf, end["base"] + how["offset"], e.packed)
         entries.append(e)

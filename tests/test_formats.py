@@ -98,6 +98,26 @@ def test_zip_overlap_is_malformed():
     assert e.value.code == "malformed"
 
 
+def test_split_zip():
+    data = pack_zip(ITEMS)
+    plain = open_archive(data, "x.zip").entries
+    # the first entry on volume 0, the rest on volume 1, offsets relative to their volume
+    cut = plain[1].record[0]
+    b = bytearray(data)
+    at = b.index(b"PK\1\2")
+    for e in plain:
+        on = int(e.record[0] >= cut)
+        b[at + 34 : at + 36] = on.to_bytes(2, "little")
+        b[at + 42 : at + 46] = (e.record[0] - on * cut).to_bytes(4, "little")
+        at = b.index(b"PK", at + 46)
+    end = b.rindex(b"PK\5\6")
+    b[end + 4 : end + 8] = b"\1\0\1\0"
+    b[end + 16 : end + 20] = (int.from_bytes(b[end + 16 : end + 20], "little") - cut).to_bytes(4, "little")
+    got = read("x.zip", bytes(b), volume_starts=(0, cut))
+    assert [(r["name"], r["content"], r["error"]) for r in got] == [(n, d, None) for n, _, d in ITEMS]
+    assert read("x.zip", bytes(b), volume_starts=(0, 1, 2))[0]["error"]["code"] == "malformed"
+
+
 def winzip(data, password, strength=3):
     import hmac
 
