@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 REGISTERS, ROWS, BASE, RATE = 256, 6, 1.02, 20.0
 BANDS = REGISTERS // ROWS
@@ -166,16 +167,29 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
     return (lo + hi) / 2
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of 512 rows and about two SLICEs of text (column 1) at most, since a set's temporary arrays take many times its text."""
+    for whole in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()
+        start = size = 0
+        for i, n in enumerate(lengths):
+            if i > start and (size + n > 2 * SLICE or i - start >= 512):
+                yield whole.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < whole.num_rows:
+            yield whole.slice(start)
+    tidy()
+
+
 def _described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, n, sig, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
-                k = sketches(sets)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), "sketch": pa.array([r.tobytes() for r in k], pa.binary())})
+        for batch in _slices(batches):
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
+            k = sketches(sets)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), "sketch": pa.array([r.tobytes() for r in k], pa.binary())})
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, n long, sig binary, sketch binary")
 
@@ -219,11 +233,9 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> Da
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(needed) if few else needed, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
+        for batch in _slices(batches):
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return texts.mapInArrow(make, "id long, items binary")
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 6
 INPUT = WORD_DIM + CHAR_DIM + 2
@@ -366,9 +368,6 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return got[text].tolist(), got["__y"].astype(int).tolist()
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, net: Net, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:
     """The kept columns (all by default) with the score (0 to 1)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out]
@@ -378,12 +377,11 @@ def score(docs: DataFrame, net: Net, keep: list[str] | None = None, text: str =
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        if id(net) not in _scorers:
-            _scorers.clear()
-            _scorers[id(net)] = Scorer(net)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            got = _scorers[id(net)].score(batch.column(place).to_pylist())
+            got = scorer.score(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(got, pa.float64())], names=[*keep, out])
+        del scorer
+        tidy()
 
     return docs.select(*columns).mapInArrow(run, schema)
