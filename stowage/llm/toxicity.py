@@ -62,7 +62,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     word = np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in vocabulary], np.int64)
     marked = [f"^{w[:WINDOW]}$" for w in vocabulary]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(marked)), [len(m) for m in marked])
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(m) for m in marked])
     ids, of, h = [], [], points
     for k in range(2, max(GRAMS) + 1):
         if len(points) < k:
@@ -70,7 +70,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         h = h[:-1] * np.uint32(0x01000193) + points[k - 1 :]
         if k in GRAMS:
             inside = owner[: len(h)] == owner[k - 1 :]
-            ids.append((((h + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))[inside].astype(np.int64))
+            ids.append((((h + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))[inside].astype(np.int32))
             of.append(owner[: len(h)][inside])
     if not ids:
         return word, np.empty(0, np.int64), np.empty(0, np.int64)
