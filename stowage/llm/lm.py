@@ -4,15 +4,17 @@ Tokens are words (ASCII letters lower-cased) and one end for each text. Word cou
 make a smoothed unigram model, exact for every word: the commonest FREQUENT words are broadcast with
 their counts, and tokens beyond them meet the rest of the counts in a join by word.
 
-Over the commonest HISTORY words, pair counts of all training texts are quantised on a log scale, and a
-pair is put into a Bloom filter once for each level up to its own. A count is read by probing one level
-after the other until one is absent. The model interpolates, with absolute discounting:
+Pairs of any two words that stand twice or more in the training texts are known by a 64-bit hash of both.
+Their counts are quantised on a log scale, and a pair is put into a Bloom filter once for each level up to
+its own. A count is read by probing one level after the other until one is absent. The model interpolates, with absolute discounting:
 
     P(w | h) = max(c(h, w) - DISCOUNT, 0) / c(h) + rest(h) * P(w)
 
-where rest(h) is what the kept pairs of h leave. Pairs seen once are left to P(w). The filter takes
-BITS_A_KEY bits an insertion up to MOST_BITS, which bounds the broadcast; beyond that its error rises and
-nothing else changes. It is built in shards by streaming, so no task holds more than its shards.
+where rest(h) is what the kept pairs of h leave, exact for every word and joined like its count. The first
+term is at most 1 - rest(h), and c(h, w) at most c(h) and c(w), whatever the filter says, so no score
+exceeds 0. Pairs seen once are left to P(w). The filter takes BITS_A_KEY bits an insertion. Up to MOST_BITS
+it is broadcast; beyond, it stays in shards of at most PART bits, and the distinct pairs of the scored texts
+are dealt to them. It is built in shards by streaming, so no task holds more than its shards.
 
 Defined results: null or empty text is one end token; a null doc_id is not held out; with nothing to
 learn from every count is 0 and scores use a vocabulary of one; repeated rows count, and are scored, as
@@ -21,25 +23,26 @@ often as they stand; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .langid import held_out
 
-FREQUENT, HISTORY = 1 << 18, 1 << 15
-BITS_A_KEY, LEAST_BITS, MOST_BITS, PROBES, SHARDS = 10, 1 << 16, 1 << 28, 2, 256
+FREQUENT = 1 << 18
+BITS_A_KEY, LEAST_BITS, MOST_BITS, PART, PROBES, SHARDS = 10, 1 << 16, 1 << 28, 1 << 23, 2, 256
 LEAST_COUNT, LEVEL_BASE, DISCOUNT, SMOOTHING = 2, 1.5, 1.0, 0.1
 #: The end token; no word holds a blank.
 END = " "
 #: Distinct words, and pairs, that a task gathers before it hands them on.
-WORDS, PAIRS = 400_000, 4_000_000
+WORDS, PAIRS = 400_000, 3_000_000
 
 _U = np.uint64
 
@@ -55,6 +58,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class Keys(dict):
+    """60-bit hashes of words, of which WORDS at most are remembered; word_key() is the same for a column."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        out = self[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+        return out
+
+
+def word_key(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of pairs, from those of their words; pairs of one history are near each other in their order."""
+    h = h.astype(_U)
+    return ((h >> _U(40) << _U(44)) | (_mix(_mix(h) + w.astype(_U)) >> _U(20))).view(np.int64)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all texts, each with its end."""
 
@@ -81,20 +104,27 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Filter:
-    """Log-frequency Bloom filter of pairs; `bits` is a byte array of a power of two of bits, in SHARDS equal parts."""
+    """Log-frequency Bloom filter of pairs: a power of two of bits in equal shards, the highest level put in, and
+    either `bits`, a byte array of all of them, or `rows`, a frame (shard, bits)."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.part = len(bits) * 8 // SHARDS
+    def __init__(self, size: int, top: int, bits: np.ndarray | None = None, rows: DataFrame | None = None):
+        self.shards, self.top, self.bits, self.rows = self.number(size), top, bits, rows
+        self.part = size // self.shards
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": None}
 
     @staticmethod
     def size(insertions: int) -> int:
-        need = max(LEAST_BITS, min(MOST_BITS, insertions * BITS_A_KEY))
-        return 1 << math.ceil(math.log2(need))
+        return 1 << math.ceil(math.log2(max(LEAST_BITS, min(MOST_BITS, insertions * BITS_A_KEY))))
 
     @staticmethod
-    def shard(keys: np.ndarray) -> np.ndarray:
-        return (_mix(keys.astype(_U) + _U(0x51ED27)) >> _U(56)).astype(np.int64)
+    def number(size: int) -> int:
+        return max(SHARDS, size // PART)
+
+    @staticmethod
+    def shard(keys: np.ndarray, shards: int) -> np.ndarray:
+        return (_mix(keys.astype(_U) + _U(0x51ED27)) >> _U(65 - shards.bit_length())).astype(np.int64)
 
     @staticmethod
     def places(keys: np.ndarray, level: np.ndarray | int, part: int) -> list[np.ndarray]:
@@ -107,30 +137,54 @@ class Filter:
     def level(counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(counts / LEAST_COUNT) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, 0 for pairs that were not put in (or, rarely, too much)."""
+    def counts(self, keys: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
+        """Quantised counts, 0 for pairs that were not put in (or, rarely, too much); with bits of one shard, its keys."""
         found = np.zeros(len(keys), np.int64)
-        live, base, level = np.arange(len(keys)), self.shard(keys) * self.part, 0
-        while len(live):
-            level += 1
+        live = np.arange(len(keys))
+        base = self.shard(keys, self.shards) * self.part if bits is None else np.zeros(len(keys), np.int64)
+        bits = self.bits if bits is None else bits
+        for level in range(1, self.top + 1):
+            if not len(live):
+                break
             k, hit = keys[live], np.ones(len(live), bool)
             for place in self.places(k, level, self.part):
                 at = base[live] + place
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[hit]
             found[live] = level
-        return np.where(found > 0, LEAST_COUNT * LEVEL_BASE ** (found - 1) * (LEVEL_BASE - 1) / math.log(LEVEL_BASE), 0.0)
+        return np.where(found > 0, LEAST_COUNT * LEVEL_BASE ** (found - 1.0) * (LEVEL_BASE - 1) / math.log(LEVEL_BASE), 0.0)
+
+    def look_up(self, keys: DataFrame) -> DataFrame:
+        """(pair, n) of the distinct `pair`s that are in, each probed at its shard."""
+        own, shards = self, self.shards
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not (len(left) and len(right)):
+                return pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.float64())})
+            pair = left.column("pair").to_numpy()
+            n = own.counts(pair, np.frombuffer(right.column("bits")[0].as_py(), np.uint8))
+            return pa.table({"pair": pair[n > 0], "n": n[n > 0]})
+
+        dealt = keys.mapInArrow(_dealer(shards), "shard int, pair long")
+        return dealt.groupBy("shard").cogroup(self.rows.groupBy("shard")).applyInArrow(run, "pair long, n double")
+
+
+def _dealer(shards: int):
+    """Puts the shard before the columns, of which the first is the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Filter.shard(b.column(0).to_numpy(), shards), pa.int32()), *b.columns], names=["shard", *b.schema.names])
+
+    return run
 
 
 def build_filter(pairs: DataFrame) -> Filter:
     """The filter of (pair, n)."""
     level = F.lit(1) + F.floor(F.log(F.col("n") / LEAST_COUNT) / math.log(LEVEL_BASE) + 1e-9)
-    size = Filter.size(pairs.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0])
-    part = size // SHARDS
-
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.shard(b.column(0).to_numpy()), pa.int64()), b.column(0), b.column(1)], names=["shard", "pair", "n"])
+    insertions, top = pairs.agg(F.coalesce(F.sum(level), F.lit(0)), F.coalesce(F.max(level), F.lit(0))).first()
+    size = Filter.size(insertions)
+    part = size // Filter.number(size)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -145,23 +199,25 @@ def build_filter(pairs: DataFrame) -> Filter:
                 keys, at = np.repeat(pair[x:y], depth), np.concatenate([np.arange(1, d + 1) for d in depth.tolist()])
                 for place in Filter.places(keys, at, part):
                     np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array(list(parts), pa.int64()), "bits": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
+        for s in list(parts):
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "bits": pa.array([parts.pop(s).tobytes()], pa.binary())})
 
-    rows = pairs.mapInArrow(shard_of, "shard long, pair long, n long").repartition("shard").mapInArrow(fill, "shard long, bits binary")
+    rows = pairs.select("pair", "n").mapInArrow(_dealer(Filter.number(size)), "shard int, pair long, n long").repartition("shard").mapInArrow(fill, "shard int, bits binary")
+    if size > MOST_BITS:
+        return Filter(size, top, rows=cut(rows))
     bits = np.zeros(size // 8, np.uint8)
     for shard, own in rows.toLocalIterator():  # SHARDS rows of fixed size
         bits[shard * part // 8 : (shard + 1) * part // 8] |= np.frombuffer(own, np.uint8)
-    return Filter(bits)
+    return Filter(size, top, bits)
 
 
 class Model:
-    """What scoring needs at the workers, of bounded size: frequent words with counts, history masses, the filter, totals."""
+    """What scoring needs at the workers, of bounded size: frequent words with counts and rests, the filter up to MOST_BITS, totals."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, least: int, total: int, distinct: int):
-        self.words, self.counts, self.least, self.total, self.distinct = words, counts, least, total, distinct
+    def __init__(self, words: list[str], counts: np.ndarray, rest: np.ndarray, least: int, total: int, distinct: int):
+        self.words, self.counts, self.rest, self.least, self.total, self.distinct = words, counts, rest, least, total, distinct
         self.ids: dict[bytes, int] | None = None
         self.filter: Filter | None = None
-        self.rest = np.ones(0)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"ids": None}
@@ -181,62 +237,60 @@ class Model:
 
 
 def unigrams(counts: DataFrame) -> Model:
-    """Frequent words: those above the lowest count, on a log scale, that no more than FREQUENT words reach."""
+    """Frequent words of (word, c, rest): the end and those above the lowest count, on a log scale, that no more than FREQUENT words reach."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     step = F.floor(F.log2("c") * 4).cast("int")
     reach = sorted(((s, n) for s, n in counts.groupBy(step.alias("s")).count().collect()), reverse=True)  # at most 256 rows
-    kept, least = 0, None
+    kept, least = 0, 1 << 30
     for s, n in reach:
         if kept + n > FREQUENT:
             break
         kept, least = kept + n, s
-    if least is None:
-        return Model([], np.zeros(0, np.int64), 1 << 62, total, distinct)
-    got = counts.where(step >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Model(got["word"].tolist(), got["c"].to_numpy(np.int64), int(got["c"].min()), total, distinct)
+    got = counts.where((step >= least) | (F.col("word") == END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    c = got["c"].to_numpy(np.int64)
+    reached = c[np.floor(np.log2(c) * 4) >= least]
+    return Model(got["word"].tolist(), c, got["rest"].to_numpy(np.float64), int(reached.min()) if len(reached) else 1 << 62, total, distinct)
 
 
-def _ids(model: Model, text: str | None, words: list[bytes] | None = None) -> np.ndarray:
-    """Frequent-word ids of a text's tokens, -1 for others, with the end before the first (as history) and after the last."""
-    get = model.ready().get
-    end = get(END.encode(), -1)
-    return np.array([end, *[get(w, -1) for w in (_tokens(text) if words is None else words)], end], np.int64)
+def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(pair, h, n) of the pairs that stand LEAST_COUNT times or more; h is the history's key."""
 
-
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the counts (word, c) of all words."""
-    counts = cut(count_words(docs, text))
-    model = unigrams(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, size, none = Keys(), [], 0, np.empty(0, np.int64)
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+            pair, h = (np.concatenate([none, *x]) for x in (zip(*held) if held else ((), ())))
             held.clear()
-            return pa.RecordBatch.from_pydict({"pair": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+            order = np.argsort(pair)
+            pair = pair[order]
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else none
+            return pa.RecordBatch.from_pydict({"pair": pa.array(pair[first], pa.int64()), "h": pa.array(h[order[first]], pa.int64()), "n": pa.array(np.diff(np.append(first, len(pair))), pa.int64())})
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                ids = _ids(shared.value, t)
-                h, w = ids[:-1], ids[1:]
-                good = (h >= 0) & (w >= 0) & (h < HISTORY) & (w < HISTORY)
-                held.append(h[good] * HISTORY + w[good])
-                size += len(held[-1])
+                words = _tokens(t)
+                words.append(END.encode())
+                w = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+                h = np.roll(w, 1)  # the end comes before the first
+                held.append((pair_keys(h, w), h))
+                size += len(w)
                 if size >= PAIRS:
                     yield flush()
                     size = 0
         yield flush()
 
-    pairs = docs.select(text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    pairs = cut(pairs)
+    counted = docs.select(text).mapInArrow(run, "pair long, h long, n long").groupBy("pair", "h").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= LEAST_COUNT)
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and (word, c, rest) of all words."""
+    pairs = cut(count_pairs(docs, text))
+    mass = pairs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("m"))
+    rest = F.greatest(F.lit(1e-4), F.least(F.lit(1.0), 1 - F.coalesce("m", F.lit(0.0)) / F.col("c")))
+    counts = cut(count_words(docs, text).withColumn("key", word_key(F.col("word"))).join(mass, "key", "left").select("word", "c", rest.alias("rest")))
+    model = unigrams(counts)
     model.filter = build_filter(pairs)
-    size = min(HISTORY, len(model.words))
-    mass = pairs.groupBy(F.shiftright("pair", HISTORY.bit_length() - 1).alias("h")).agg(F.sum(F.col("n") - DISCOUNT).alias("m")).toPandas()  # at most HISTORY rows
-    kept = np.zeros(size)
-    kept[mass["h"].to_numpy(np.int64)] = mass["m"]
-    model.rest = np.clip(1 - kept / np.maximum(model.counts[:size], 1), 1e-4, 1)
     return model, counts
 
 
@@ -247,42 +301,77 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         log_p = m.log_p()
-        p = 10.0**log_p
-        size = len(m.rest)
+        p = 10.0**log_p  # -1 is the last: a word never seen
+        count, rest, get, cache, end = np.append(m.counts, 0), np.append(m.rest, 1.0), m.ready().get, Keys(), END.encode()
+        keys = np.array([cache[w] for w in m.ready()] + [0], np.int64)
+        local = m.filter.bits is not None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids, rare = [], []
+                words, sizes = [], []
                 for t in batch.column(3).to_pylist():
-                    words = _tokens(t)
-                    own = _ids(m, None, words)
-                    ids.append(own)
-                    rare.append(b" ".join([words[i] for i in np.flatnonzero(own[1:-1] < 0).tolist()]))
-                starts = np.cumsum([0, *[len(x) - 1 for x in ids]])
-                h, w = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
-                history = (h >= 0) & (h < size)
-                both = history & (w >= 0) & (w < HISTORY)
-                rest = np.where(history, m.rest[np.where(history, h, 0)] if size else 1.0, 1.0)
-                seen = np.zeros(len(h))
-                if both.any():
-                    c = m.filter.counts(h[both] * HISTORY + w[both])
-                    seen[both] = np.maximum(c - DISCOUNT, 0) / m.counts[h[both]]
-                total = np.log10(seen + rest * p[w])  # -1 is the last: a word never seen
+                    own = _tokens(t)
+                    sizes.append(len(own) + 1)
+                    words += own
+                    words.append(end)
+                w = np.fromiter((get(x, -1) for x in words), np.int64, len(words))
+                k = keys[w]
+                lost = np.flatnonzero(w < 0)
+                k[lost] = [cache[words[i]] for i in lost.tolist()]
+                h = np.roll(w, 1)  # each text ends, and starts after an end
+                pair = pair_keys(np.roll(k, 1), k)
+                known = (h >= 0) & (w >= 0)
+                # where a pair can have been kept; of what is not frequent that is settled by the joins below
+                may = ((h < 0) | (rest[h] < 1)) & ((w < 0) | (count[w] >= LEAST_COUNT))
+                n = np.zeros(len(w))
+                if local and may.any():
+                    n[may] = m.filter.counts(pair[may])
+                open_, raw = (n > 0) & ~known if local else may, n
+                n = np.minimum(n, np.minimum(count[h], count[w]))
+                seen = np.minimum(np.maximum(n - DISCOUNT, 0) / np.maximum(count[h], 1), 1 - rest[h])
+                term = np.where(open_, 0.0, np.log10(seen + rest[h] * p[w]))
+                starts = np.cumsum([0, *sizes])
                 add = lambda x: np.add.reduceat(x, starts[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(starts)), pa.array(add((w >= 0).astype(np.int64))), pa.array(add(log_p[w])), pa.array(add(total)), pa.array([x if x else None for x in rare], pa.binary()).cast(pa.string())], names=["__key", "__a", "__b", "n_tokens", "__known", "__base", "__score", "__rare"])
+                # a word beyond the frequent ones, after a digit: 1 if it adds to the score as a word, 2 if as a history
+                lost = np.array([i for i in lost.tolist() if words[i] != end], np.int64)
+                flags = (~open_[lost] + 2 * ~open_[(lost + 1) % len(w)]).tolist() if len(lost) else []
+                marked = [b"%d%s" % (f, words[i]) for f, i in zip(flags, lost.tolist())]
+                cuts = np.searchsorted(lost, starts).tolist()
+                rare = [b" ".join(marked[x:y]) or None for x, y in zip(cuts, cuts[1:])]
+                o = np.flatnonzero(open_)
+                part = lambda at: pa.array([None if x >= 0 else words[i] for i, x in zip(at.tolist(), (w[at]).tolist())], pa.binary()).cast(pa.string())
+                pairs = pa.StructArray.from_arrays([part((o - 1) % len(w)), part(o), pa.array(pair[o]), pa.array(raw[o]), pa.array(count[h[o]]), pa.array(rest[h[o]]), pa.array(count[w[o]])], names=["h", "w", "pair", "n", "ch", "rest", "cw"])
+                opened = pa.ListArray.from_arrays(pa.array(np.searchsorted(o, starts), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(add((w >= 0).astype(np.int64))), pa.array(add(log_p[w])), pa.array(add(term)), pa.array(rare, pa.binary()).cast(pa.string()), opened], names=["__key", "__a", "__b", "n_tokens", "__known", "__base", "__score", "__rare", "__open"])
 
     kind = docs.schema[key].dataType.simpleString()
     ids = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(key), F.col(text)).alias("__a"), F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("__b"), text)
-    rows = cut(ids.mapInArrow(run, f"__key {kind}, __a long, __b long, n_tokens long, __known long, __base double, __score double, __rare string"))
-    # tokens beyond the frequent words: what their counts add to the score of a word never seen
-    rare = rows.where(F.col("__rare").isNotNull()).select("__a", "__b", F.explode(F.split("__rare", " ")).alias("word"))
+    rows = cut(ids.mapInArrow(run, f"__key {kind}, __a long, __b long, n_tokens long, __known long, __base double, __score double, __rare string, __open array<struct<h:string,w:string,pair:long,n:double,ch:long,rest:double,cw:long>>"))
     lesser = counts.where(F.col("c") < model.least)
+    # tokens beyond the frequent words: what their counts, and their rests as histories, add to the score of a word never seen
+    rare = rows.where(F.col("__rare").isNotNull()).select("__a", "__b", F.explode(F.split("__rare", " ")).alias("word"))
+    rare = rare.select("__a", "__b", F.substring("word", 1, 1).cast("int").alias("flag"), F.expr("substring(word, 2)").alias("word"))
     more = F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)
-    found = rare.join(lesser, "word").groupBy("__a", "__b").agg(F.count("*").alias("__n"), F.sum(more).alias("__more"))
+    when = lambda bit, x: F.when(F.col("flag").bitwiseAND(bit) > 0, x).otherwise(0.0)
+    zero = F.lit(0.0)
+    found = rare.join(lesser, "word").select("__a", "__b", F.lit(1).alias("n"), more.alias("base"), (when(1, more) + when(2, F.log10("rest"))).alias("score"))
+    # pairs that are not settled by what is broadcast
+    opened = rows.where(F.size("__open") > 0).select("__a", "__b", F.explode("__open").alias("p")).select("__a", "__b", "p.*")
+    if model.filter.rows is not None:
+        opened = cut(opened)
+        opened = opened.drop("n").join(model.filter.look_up(opened.select("pair").distinct()), "pair", "left")
+    for side in ("h", "w"):  # frequent words are null here, and spread
+        of = lesser.select(F.col("word").alias(f"__{side}"), F.col("c").alias(f"__c{side}"), F.col("rest").alias(f"__rest{side}"))
+        opened = opened.withColumn(f"__{side}", F.coalesce(side, F.concat(F.lit("  "), F.col("__a").cast("string")))).join(of, f"__{side}", "left")
+    ch, cw, rest = F.coalesce("__ch", "ch"), F.coalesce("__cw", "cw"), F.coalesce("__resth", "rest")
+    n = F.least(F.coalesce("n", zero), ch, cw)
+    seen = F.when(ch > 0, F.least(F.greatest(n - DISCOUNT, zero) / ch, 1 - rest)).otherwise(0.0)
+    settled = opened.select("__a", "__b", F.lit(0).alias("n"), zero.alias("base"), F.log10(seen + rest * (cw + SMOOTHING) / model.denominator).alias("score"))
+    found = found.unionByName(settled).groupBy("__a", "__b").agg(F.sum("n").alias("__n"), F.sum("base").alias("__more"), F.sum("score").alias("__rest"))
     copies = rows.groupBy("__a", "__b").agg(F.count("*").alias("__copies"))
-    out = rows.drop("__rare").join(found.join(copies, ["__a", "__b"]), ["__a", "__b"], "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("__copies"), F.lit(0.0))
-    return out.select(F.col("__key").alias(key), "n_tokens", (F.col("__known") + F.round(share("__n")).cast("long")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + share("__more")).alias("base_score"), (F.col("__score") + share("__more")).alias("score"))
+    out = rows.drop("__rare", "__open").join(found.join(copies, ["__a", "__b"]), ["__a", "__b"], "left")
+    share = lambda c: F.coalesce(F.col(c) / F.col("__copies"), zero)
+    return out.select(F.col("__key").alias(key), "n_tokens", (F.col("__known") + F.round(share("__n")).cast("long")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + share("__more")).alias("base_score"), (F.col("__score") + share("__rest")).alias("score"))
 
 
 def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:

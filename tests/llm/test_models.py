@@ -254,3 +254,38 @@ def test_components_of_paths_and_stars(spark):
     got = dict(setsketch.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in [*range(41), *range(100, 120)]} == {0} and got[500] == 499
     assert setsketch.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_all_repeated_pairs_count(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    said = [f"{r.choice(words)} {r.choice(words)}" for _ in range(200)]
+    data = [(i, " ".join(r.choice(said) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(7, "once only"), (500, "w1 never")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    split = lambda t: [" ", *t.split(), " "]
+    n, c = Counter(), Counter()
+    for _, t in data:
+        n.update(zip(split(t), split(t)[1:]))
+        c.update(split(t)[1:])
+    n = {k: v for k, v in n.items() if v >= lm.LEAST_COUNT}
+    mass = Counter()
+    for (h, _), v in n.items():
+        mass[h] += v - 1
+    total, unit = sum(c.values()), lm.LEVEL_BASE
+
+    def term(h, w):
+        rest = min(1, max(1e-4, 1 - mass[h] / c[h])) if c[h] else 1
+        level = 1 + math.floor(math.log(n[h, w] / 2, unit) + 1e-9) if (h, w) in n else 0
+        q = min(2 * unit ** (level - 1) * (unit - 1) / math.log(unit), c[h], c[w]) if level else 0
+        return math.log10(min(max(q - 1, 0) / max(c[h], 1), 1 - rest) + rest * (c[w] + 0.1) / (total + 0.1 * (len(c) + 1)))
+
+    want = sorted((i, round(sum(term(*x) for x in zip(split(t), split(t)[1:])), 6)) for i, t in data)
+    monkeypatch.setattr(lm, "BITS_A_KEY", 400)  # no false hits
+    for frequent, most, part in ((lm.FREQUENT, lm.MOST_BITS, lm.PART), (40, lm.MOST_BITS, lm.PART), (0, lm.MOST_BITS, lm.PART)):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        monkeypatch.setattr(lm, "MOST_BITS", most)
+        monkeypatch.setattr(lm, "PART", part)
+        model, counts = lm.train(docs)
+        assert (model.filter.rows is not None) == (most == 0)
+        got = sorted((x["doc_id"], round(x["score"], 6)) for x in lm.score(docs, model, counts).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want)), (frequent, most)
