@@ -6,7 +6,8 @@ their counts, and tokens beyond them meet the rest of the counts in a join by wo
 
 Pairs of any two words that stand twice or more in the training texts are known by a 64-bit hash of both.
 Their counts are quantised on a log scale, and a pair is put into a Bloom filter once for each level up to
-its own. A count is read by probing one level after the other until one is absent. The model interpolates, with absolute discounting:
+its own. A count is read by probing one level after the other until one is absent, up to the highest level
+put in. The model interpolates, with absolute discounting:
 
     P(w | h) = max(c(h, w) - DISCOUNT, 0) / c(h) + rest(h) * P(w)
 
@@ -116,7 +117,7 @@ class Filter:
 
     @staticmethod
     def size(insertions: int) -> int:
-        return 1 << math.ceil(math.log2(max(LEAST_BITS, min(MOST_BITS, insertions * BITS_A_KEY))))
+        return 1 << math.ceil(math.log2(max(LEAST_BITS, insertions * BITS_A_KEY)))
 
     @staticmethod
     def number(size: int) -> int:

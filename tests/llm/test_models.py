@@ -256,7 +256,7 @@ def test_components_of_paths_and_stars(spark):
     assert setsketch.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_all_repeated_pairs_count(spark, monkeypatch):
+def test_all_repeated_pairs_count_and_no_score_exceeds_zero(spark, monkeypatch):
     r = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     said = [f"{r.choice(words)} {r.choice(words)}" for _ in range(200)]
@@ -281,7 +281,7 @@ def test_all_repeated_pairs_count(spark, monkeypatch):
 
     want = sorted((i, round(sum(term(*x) for x in zip(split(t), split(t)[1:])), 6)) for i, t in data)
     monkeypatch.setattr(lm, "BITS_A_KEY", 400)  # no false hits
-    for frequent, most, part in ((lm.FREQUENT, lm.MOST_BITS, lm.PART), (40, lm.MOST_BITS, lm.PART), (0, lm.MOST_BITS, lm.PART)):
+    for frequent, most, part in ((lm.FREQUENT, lm.MOST_BITS, lm.PART), (40, lm.MOST_BITS, lm.PART), (0, lm.MOST_BITS, lm.PART), (40, 0, 256)):
         monkeypatch.setattr(lm, "FREQUENT", frequent)
         monkeypatch.setattr(lm, "MOST_BITS", most)
         monkeypatch.setattr(lm, "PART", part)
@@ -289,3 +289,10 @@ def test_all_repeated_pairs_count(spark, monkeypatch):
         assert (model.filter.rows is not None) == (most == 0)
         got = sorted((x["doc_id"], round(x["score"], 6)) for x in lm.score(docs, model, counts).collect())
         assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want)), (frequent, most)
+    # a filter of false hits only
+    model.filter = lm.Filter(1 << 16, 200, np.full(1 << 13, 255, np.uint8))
+    assert all(x["score"] <= 0 for x in lm.score(docs, model, counts).collect())
+
+
+def test_filter_follows_the_insertions():
+    assert lm.Filter.size(1 << 36) >= lm.BITS_A_KEY << 36
