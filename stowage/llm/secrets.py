@@ -2,12 +2,15 @@
 
 Strong kinds stand alone: `assign`, `access` and `hex` matches of enough length. Weak parts, which are
 access identifiers, secret-like values and endpoints, are reported only if complementary parts
-co-occur: parts are intervals in the text, and a weak secret is joined to the nearest identifier and
-the nearest endpoint of its scope, within `reach` code points to either side. With an identifier or an
-endpoint in reach, the secret and those partners are reported as weak_secret, weak_id, weak_endpoint.
+co-occur: parts are intervals in the text, and a weak secret is joined to every identifier and every
+endpoint within `reach` code points to either side. The secret and those partners are reported as
+weak_secret, weak_id, weak_endpoint. Identifiers and secrets inside an endpoint are parts too, at no
+distance from it; a long run there holds slashes only right after one of = & ? #, so that a path is no
+secret.
 
-Offsets are code points. The interval join is a sweep over each text's parts in order of their start,
-so a text with many parts costs no more than a sort. Only parts are shuffled, never texts.
+Offsets are code points. A part has a complement in reach if the one that ends last of those before, or
+that starts first of those after, is in reach, so the interval join is a sweep over each text's parts in
+both orders and makes no pairs. Only parts are shuffled, never texts.
 
 Defined results: null text is empty; texts without findings give zeros, the digest of an empty string
 and an empty string; repeated rows each get the same findings; an empty table gives no rows; extra
@@ -29,6 +32,9 @@ ENDPOINT = r"""(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis
 IDENTIFIER = r"""(?:client_id|access_key_id|account_id|user_?name|user_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}|AKIA[A-Z0-9]+"""
 SECRET = r"""(?:password|passwd|secret|token|api_?key|pwd)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}|[A-Za-z0-9+/]{32,}={0,2}"""
 WEAK = f"{ENDPOINT}|{IDENTIFIER}|{SECRET}"
+#: Identifiers, and parts inside an endpoint.
+NAMED_ID = f"(?i:{IDENTIFIER.rpartition('|')[0]})|AKIA[A-Z0-9]+"
+INNER = rf"{NAMED_ID}|(?i:{SECRET.rpartition('|')[0]})|(?<=[=&?#])[A-Za-z0-9+/]{{32,}}={{0,2}}|[A-Za-z0-9+]{{32,}}={{0,2}}"
 REACH = 200
 
 _KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
@@ -73,17 +79,23 @@ def _weak_kind(hit: Column) -> Column:
     return F.when(begins(f"^(?i:{ENDPOINT})$"), 5).when(begins(f"^(?:(?i:{IDENTIFIER.rpartition('|')[0]})|AKIA[A-Z0-9]+)$"), 3).otherwise(4)
 
 
+def _inside(at: Column, hit: Column) -> Column:
+    """Parts inside a hit, as array<struct<s, e, k>> of the text."""
+    spans = F.zip_with(_located(F.split(hit["h"], INNER, -1), hit["x"]), hit["x"], lambda p, x: F.struct((at["s"] + p["s"]).alias("s"), (at["s"] + p["e"]).alias("e"), F.when(x.rlike(f"^(?:{NAMED_ID})$"), 3).otherwise(4).alias("k")))
+    return F.when(F.size(hit["x"]) > 0, spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,k:int>>)"))
+
+
 def linked(parts: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
     """Interval join. parts: (*by, s, e, k) with k 3 identifier, 4 secret, 5 endpoint -> the spans to report, once each."""
-    before = Window.partitionBy(*by).orderBy("s", "e", "k").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy("s", "e", "k").rowsBetween(1, Window.unboundedFollowing)
-    span = F.struct("s", "k", "e")
+    order = [F.col(c) for c in ("s", "e", "k")]
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    secret = F.col("k") == 4
     seen = parts
-    for k in (3, 5):
-        seen = seen.withColumn(f"__prev{k}", F.last(F.when(F.col("k") == k, span), True).over(before)).withColumn(f"__next{k}", F.first(F.when(F.col("k") == k, span), True).over(after))
-    near = [F.when(F.col("s") - F.col(f"__prev{k}.e") <= reach, F.col(f"__prev{k}")) for k in (3, 5)] + [F.when(F.col(f"__next{k}.s") - F.col("e") <= reach, F.col(f"__next{k}")) for k in (3, 5)]
-    secrets = seen.where(F.col("k") == 4).select(*by, span.alias("own"), F.array_compact(F.array(*near)).alias("partners")).where(F.size("partners") > 0)
-    return secrets.select(*by, F.explode(F.concat(F.array("own"), "partners")).alias("span")).distinct()
+    for name, kind in (("secret", secret), ("partner", ~secret)):
+        seen = seen.withColumn(f"__{name}_end", F.max(F.when(kind, F.col("e"))).over(before)).withColumn(f"__{name}_start", F.min(F.when(kind, F.col("s"))).over(after))
+    near = lambda name: F.coalesce(F.col("s") - F.col(f"__{name}_end") <= reach, F.lit(False)) | F.coalesce(F.col(f"__{name}_start") - F.col("e") <= reach, F.lit(False))
+    return seen.where(F.when(secret, near("partner")).otherwise(near("secret"))).select(*by, F.struct("s", "k", "e").alias("span")).distinct()
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
@@ -92,13 +104,18 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     rows = rows.withColumn("__id", F.struct(F.col("__key").isNull().alias("n"), F.coalesce(F.col("__key"), F.lit(0).cast(docs.schema[key].dataType)).alias("k"), F.xxhash64("__text").alias("a"), F.length("__text").alias("b")))
     rows = rows.withColumn("__weak_hits", F.regexp_extract_all("__text", F.lit(f"(?i){ENDPOINT}|(?i:{IDENTIFIER.rpartition('|')[0]})|(?-i:AKIA[A-Z0-9]+)|{SECRET}"), F.lit(0)))
     rows = rows.withColumn("__kinds", F.transform("__weak_hits", _weak_kind))
-    worth = F.array_contains("__kinds", 4) & F.arrays_overlap("__kinds", F.array(F.lit(3), F.lit(5)))
+    none = F.expr("cast(array() as array<string>)")
+    inner = F.zip_with("__weak_hits", "__kinds", lambda h, k: F.when(k == 5, F.regexp_extract_all(h, F.lit(INNER), F.lit(0))).otherwise(none))
+    rows = rows.withColumn("__inner", F.when(F.array_contains("__kinds", 5), inner))
+    hidden = F.coalesce(F.exists(F.flatten("__inner"), lambda x: ~x.rlike(f"^(?:{NAMED_ID})$")), F.lit(False))
+    worth = (F.array_contains("__kinds", 4) | hidden) & F.arrays_overlap("__kinds", F.array(F.lit(3), F.lit(5)))
     rows = rows.withColumn("__weak_gaps", F.when(worth, F.split("__text", f"(?i){ENDPOINT}|(?i:{IDENTIFIER.rpartition('|')[0]})|(?-i:AKIA[A-Z0-9]+)|{SECRET}", -1)))
     rows = rows.withColumn("__at", F.when(worth, _located(F.col("__weak_gaps"), F.col("__weak_hits"))))
-    rows = _strong(rows).select("__key", "__id", "__base", F.zip_with("__at", "__kinds", lambda p, k: F.struct(p["s"].alias("s"), p["e"].alias("e"), k.alias("k"))).alias("__parts"))
+    rows = _strong(rows).select("__key", "__id", "__base", F.zip_with("__at", "__kinds", lambda p, k: F.struct(p["s"].alias("s"), p["e"].alias("e"), k.alias("k"))).alias("__parts"), F.when(F.size(F.flatten("__inner")) > 0, F.zip_with("__at", F.zip_with("__weak_hits", "__inner", lambda h, x: F.struct(h.alias("h"), x.alias("x"))), _inside)).alias("__inside"))
+    rows = rows.withColumn("__parts", F.when(F.col("__inside").isNull(), F.col("__parts")).otherwise(F.concat("__parts", F.flatten("__inside"))))
     parts = rows.where(F.col("__parts").isNotNull()).select("__id", F.explode("__parts").alias("p")).select("__id", "p.s", "p.e", "p.k").distinct()
     weak = linked(parts, ["__id"], reach).groupBy("__id").agg(F.array_sort(F.collect_list("span")).alias("weak"))
-    joined = rows.join(weak, "__id", "left")
+    joined = rows.drop("__parts", "__inside").join(weak, "__id", "left")
     return joined.select(F.col("__key").alias(key), F.col("__base").alias("base"), F.coalesce("weak", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")).alias("weak"))
 
 

@@ -136,6 +136,33 @@ def test_weak_parts_need_their_complement(spark):
     assert got[13] and not got[14] and not got[15]
 
 
+def brute_all_weak(text, reach=secrets.REACH):
+    """Every pair of a secret and a partner, also inside URLs."""
+    named = re.compile(secrets.NAMED_ID, re.A)
+    top = re.compile(f"(?P<e>(?i:{secrets.ENDPOINT}))|(?P<i>{secrets.NAMED_ID})|(?P<s>(?i:{secrets.SECRET}))", re.A)
+    parts = [(m.start(), {"i": 3, "s": 4, "e": 5}[m.lastgroup], m.end()) for m in top.finditer(text)]
+    for s, k, e in list(parts):
+        if k == 5:
+            parts += [(s + m.start(), 3 if named.fullmatch(m[0]) else 4, s + m.end()) for m in re.finditer(secrets.INNER, text[s:e], re.A)]
+    out = set()
+    for a in parts:
+        for b in parts:
+            if a[1] == 4 and b[1] != 4 and max(a[0] - b[2], b[0] - a[2]) <= reach:
+                out |= {a, b}
+    return sorted(out)
+
+
+def test_weak_secrets_link_to_all_partners_in_reach_and_inside_urls(spark):
+    texts = [
+        "account_id=abc123 user_name=bob99 client_id=xyz77 secret=weakpw", "é https://h/cb?client_id=abc&secret=weakpw", "https://h/cb?sig=" + "Ab1/" * 9 + " x", "https://h/" + "path/" * 9, "https://h/" + "a1B2" * 9,
+        "https://h/x?user_id=abc12 http://i/y?token=abcd " + "." * 150 + " user_id=far123 " + "." * 60 + " user_id=far456 " + "." * 300 + " client_id=off123", "client_id=abc secret=" + "z" * 300 + " user_id=zed1 http://k/?pwd=wxyz&api_key=12345 AKIA77",
+    ]
+    got = {r["doc_id"]: [(s["s"], s["k"], s["e"]) for s in r["weak"]] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_all_weak(t), (i, t[:60])
+    assert [k for _, k, _ in got[0]] == [3, 3, 3, 4] and sorted(k for _, k, _ in got[1]) == [3, 4, 5] and got[2] and not got[3] and got[4] and len(got[5]) == 5
+
+
 def test_no_secrets_in_nothing(none):
     assert secrets.find_secrets(none).count() == 0
 
