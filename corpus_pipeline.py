@@ -16,6 +16,9 @@ from stowage.llm.queries import tokenizer_path
 #: No stage of a neural net, of sketches or of BPE can be put in SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
+#: Words of a shingle in the near-dedup stage; pairs of words are the contract of op9 alone.
+SHINGLE = 5
+
 #: Ids to drop, or to look at again, go to all executors only up to so many.
 BROADCAST_KEYS = 1_000_000
 
@@ -38,7 +41,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group; of rows that share an id, the least text."""
-    found = setsketch.near_duplicates(docs)
+    found = setsketch.near_duplicates(docs, size=SHINGLE)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = _without(docs, gone)
     again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -86,3 +86,14 @@ def test_nothing_goes_through(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_those_of_five_words(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    few, many = list(base), list(base)
+    few[50] = "other"
+    for i in range(5, 100, 20):
+        many[i] = f"other{i}"  # of pairs of words 89 in 109 are shared, of five words 71 in 121
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, few, many))], COLUMNS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
