@@ -4,7 +4,8 @@ A word's input joins a hashed word vector, the mean of the vectors of its hashed
 the highest and lowest log-odds of those n-grams in the labelled texts. Each
 window of WINDOW words, starting every STRIDE words, is read in both directions; attention pools the
 states into one logit. A text's score is that of its highest window, so a short passage counts in any
-text. All overlapping windows of every text are scored.
+text. All overlapping windows of every text are scored. A word of more than LONGEST characters is read as
+overlapping pieces, each a word of its own, so text without blanks is read to its end.
 
 The network is fitted on the driver on at most FIT_ROWS toxic and CLEAN times as many clean
 labelled rows, of FIT_LENGTH code points at most, picked by a hash of the key. Each round backpropagates
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 from .common import tidy
 
 WINDOW, STRIDE = 32, 16
+#: Characters of a word; longer runs (text without blanks) are read in pieces that overlap by half.
+LONGEST = 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 6
 INPUT = WORD_DIM + CHAR_DIM + 2
 WORD_BUCKETS, CHAR_BITS, GRAMS = 1 << 15, 16, (3, 4, 5)
@@ -50,7 +53,11 @@ _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words, those of more than LONGEST characters as overlapping pieces."""
+    out = _WORD.findall(text.lower()) if text else []
+    if out and max(map(len, out)) > LONGEST:
+        return [w[i : i + LONGEST] for w in out for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,7 +67,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets; n-gram buckets of all words; where each word's n-grams start."""
     word = np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in vocabulary], np.int64)
-    marked = [f"^{w[:WINDOW]}$" for w in vocabulary]
+    marked = [f"^{w}$" for w in vocabulary]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(m) for m in marked])
     ids, of, h = [], [], points

@@ -155,6 +155,21 @@ def test_toxicity_gradients():
         assert abs((up - down) / (2 * step) - d[name][at]) < 2e-3 * max(1, abs(d[name][at]))
 
 
+def test_long_runs_are_read_to_their_end():
+    for n in (31, 32, 33, 47, 48, 49, 64, 65, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        got = toxicity.words(f"a {run}_b")
+        assert got[0] == "a" and max(map(len, got)) <= toxicity.LONGEST
+        # all n-grams of the run stand whole in a piece
+        for i in range(n + 2 - 5 + 1):
+            assert any((run + "_b")[i : i + 5] in piece for piece in got[1:])
+    net = toxicity.fit(*zip(*[(t, y) for _, t, y in toxic_rows(200, 2)]))
+    clean, bad = "aa_" * 20 + "quiet_words_", "aa_" * 20 + "vexoru_words"
+    _, a, _ = toxicity.features(toxicity.words(clean))
+    _, b, _ = toxicity.features(toxicity.words(bad))
+    assert net.odds[b].max() > net.odds[a].max()
+
+
 def test_all_windows_overlap():
     for n in (1, 31, 32, 33, 48, 49, 500):
         w = toxicity.windows(np.arange(1, n + 1))
