@@ -40,21 +40,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows that share an id, the least text."""
-    found = setsketch.near_duplicates(docs, size=SHINGLE)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = _without(docs, gone)
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
-    return _without(kept, again).unionByName(_without(one, gone))
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Keeps of each group of near copies the row with the smallest id, of one id the least text; ids may repeat or be null (last)."""
+    key, ids = "doc_id", docs.groupBy("doc_id").count()
+    if not ids.where("count > 1 or doc_id is null").isEmpty():  # rows get ids of their own, in the order in which they stay
+        key, order = "__row", [F.col("doc_id").asc_nulls_last(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+        docs = stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+    gone = setsketch.near_duplicates(docs, key, size=SHINGLE).where(~F.col("kept")).select(key)
+    return _without(docs, gone.distinct(), key).drop("__row")
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     few = ids.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@
 A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**6)**42 > 0.999997, more above it.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; text of fewer
-words than a shingle is one shingle; rows with equal doc_id count as linked; a null doc_id is linked
+words than a shingle is one shingle; unlike rows with equal doc_id are not linked by it, so rows that are
+to be told apart need ids of their own; a null doc_id is linked
 with nothing and has a null component, kept; repeated rows are in one class; an empty table gives no
 rows; other columns are ignored.
 """

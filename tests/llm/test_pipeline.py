@@ -97,3 +97,12 @@ def test_near_copies_are_those_of_five_words(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, few, many))], COLUMNS)
     got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
+def test_repeated_and_null_ids_lose_no_unlike_text(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, a), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], COLUMNS)
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (4, None), (4, "")])
