@@ -1,383 +1,332 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Tokens are words (ASCII letters lower-cased) and one end for each text. Word counts of all training texts
-make a smoothed unigram model, exact for every word: the commonest FREQUENT words are broadcast with
-their counts, and tokens beyond them meet the rest of the counts in a join by word.
-
-Pairs of any two words that stand twice or more in the training texts are known by a 64-bit hash of both.
-Their counts are quantised on a log scale, and a pair is put into a Bloom filter once for each level up to
-its own. A count is read by probing one level after the other until one is absent, up to the highest level
-put in. The model interpolates, with absolute discounting:
-
-    P(w | h) = max(c(h, w) - DISCOUNT, 0) / c(h) + rest(h) * P(w)
-
-where rest(h) is what the kept pairs of h leave, exact for every word and joined like its count. The first
-term is at most 1 - rest(h), and c(h, w) at most c(h) and c(w), whatever the filter says, so no score
-exceeds 0. Pairs seen once are left to P(w). The filter takes BITS_A_KEY bits an insertion. Up to MOST_BITS
-it is broadcast; beyond, it stays in shards of at most PART bits, and the distinct pairs of the scored texts
-are dealt to them. It is built in shards by streaming, so no task holds more than its shards.
-
-Defined results: null or empty text is one end token; a null doc_id is not held out; with nothing to
-learn from every count is 0 and scores use a vocabulary of one; repeated rows count, and are scored, as
-often as they stand; an empty table gives no rows; extra columns are ignored.
+Tokens are words (ASCII letters lower-cased) and one end for each text, known by 64-bit hashes. Every word
+and every pair of neighbours of the training texts counts, those seen once too. Counts are quantised on a
+log scale, and a word or pair is put into a Bloom filter once for each level up to its own; a count is read
+by probing one level after the other until one is absent. The model smooths by a Dirichlet prior of weight
+PRIOR, with all of its counts read from the filter:
+
+    P(w | h) = (c(h, w) + PRIOR * P(w)) / (c(h) + PRIOR)
+
+c(h, w) is held to c(h) and c(w), so whatever false hits the filter has, no score exceeds 0. base_score and
+n_known use the exact counts of words, which lie beside the filter.
+
+The filter is built in shards by the leading bits of the hashes; their number follows the training texts, and
+a shard's bits (BITS for each insertion) what was put into it. Up to MOST_BYTES the filter and the counts are
+broadcast. Beyond, they stay where they are: the texts go by a hash into chunks of about CHUNK bytes, each
+chunk asks every shard for its distinct words and pairs, packed, and the answers meet the chunk again. What
+is moved then is proportional to the texts, and no task holds more than a chunk or a shard.
+
+Defined results: null or empty text is one end token; a null doc_id is not held out; with nothing to learn
+from every count is 0 and scores use a vocabulary of one; repeated rows count, and are scored, as often as
+they stand; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import stored, tidy
 from .langid import held_out
+from .words import mix, word_hashes
 
-FREQUENT = 1 << 18
-BITS_A_KEY, LEAST_BITS, MOST_BITS, PART, PROBES, SHARDS = 10, 1 << 16, 1 << 28, 1 << 23, 2, 256
-LEAST_COUNT, LEVEL_BASE, DISCOUNT, SMOOTHING = 2, 1.5, 1.0, 0.1
-#: The end token; no word holds a blank.
-END = " "
-#: Distinct words, and pairs, that a task gathers before it hands them on.
-WORDS, PAIRS = 400_000, 3_000_000
+BITS, PROBES, LEVEL_BASE, PRIOR, SMOOTHING = 10, 3, 1.5, 2.0, 0.1
+#: Bytes of the filter and the word counts that go to all executors, of training text for each shard, of text in a chunk.
+MOST_BYTES, SHARD, CHUNK = 1 << 24, 1 << 22, 1 << 22
+#: Tokens that a task gathers before it hands their counts on.
+TOKENS = 2_000_000
 
 _U = np.uint64
+#: The key of the end of a text.
+END = _U(0x0E0D0E0D0E0D0E0D)
+_LOW = _U(0xFFFFFFFF)
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    """Words as UTF-8, A-Z lower-cased, parted by the six ASCII blanks."""
-    return text.encode().lower().split() if text else []
+def _value(level: int) -> float:
+    """The mean of the counts of a level."""
+    first, last = math.ceil(LEVEL_BASE ** (level - 1) - 1e-9), math.ceil(LEVEL_BASE**level - 1e-9) - 1
+    return (first + last) / 2
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+#: What a level stands for; 0 was never put in.
+VALUES = np.array([0.0, *[_value(k) for k in range(1, 128)]])
 
 
-class Keys(dict):
-    """60-bit hashes of words, of which WORDS at most are remembered; word_key() is the same for a column."""
+def levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
-        return out
 
+def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the tokens of all texts, tokens of each text)."""
+    h, of = word_hashes([t or "" for t in texts])
+    out = np.full(len(h) + len(texts), END, _U)
+    out[np.arange(len(h)) + of] = h
+    return out, np.bincount(of, minlength=len(texts)) + 1
 
-def word_key(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
 
+def pair_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of (the token before, token); a text starts after an end."""
+    return mix(mix(np.roll(tokens, 1)) * _U(0x9E3779B97F4A7C15) + tokens)
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hashes of pairs, from those of their words; pairs of one history are near each other in their order."""
-    h = h.astype(_U)
-    return ((h >> _U(40) << _U(44)) | (_mix(_mix(h) + w.astype(_U)) >> _U(20))).view(np.int64)
 
+def _shards(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> _U(64 - bits)).astype(np.int64)
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c) over all texts, each with its end."""
+
+def _local(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits by which a key is known in its shard."""
+    return ((keys << _U(bits)) >> _U(32)).astype(np.uint32)
+
+
+def _split(keys: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shards, first, end) of sorted keys."""
+    own = _shards(keys, bits)
+    shards = np.unique(own) if wanted is None else wanted
+    return shards, np.searchsorted(own, shards), np.searchsorted(own, shards, side="right")
+
+
+def _blobs(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())], pa.binary())
+
+
+def _packed(words: np.ndarray, pairs: np.ndarray, bits: int, more: dict[str, tuple[np.ndarray, bool]] | None = None) -> dict[str, pa.Array]:
+    """Columns shard, w and p (keys by shard), and more: arrays along the words, or the pairs."""
+    shards = np.union1d(_shards(words, bits), _shards(pairs, bits))
+    _, a, b = _split(words, bits, shards)
+    _, c, d = _split(pairs, bits, shards)
+    out = {"shard": pa.array(shards, pa.int32()), "w": _blobs(words, a, b), "p": _blobs(_local(pairs, bits), c, d)}
+    for name, (x, of_pairs) in (more or {}).items():
+        out[name] = _blobs(x, c, d) if of_pairs else _blobs(x, a, b)
+    return out
+
+
+def _counted(docs: DataFrame, bits: int, text: str) -> DataFrame:
+    """Counts of words and pairs by shard, in packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        ends = 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
+            pairs, n = np.unique(np.concatenate([p for _, p in held]), return_counts=True)
+            words, c = np.unique(np.concatenate([t for t, _ in held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict(_packed(words, pairs, bits, {"c": (c.astype(np.uint32), False), "n": (n.astype(np.uint32), True)}))
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(_tokens(t))
-                ends += 1
-                if len(seen) >= WORDS:
+            for at in range(0, batch.num_rows, 256):
+                tokens, _ = token_keys(batch.column(0).slice(at, 256).to_pylist())
+                held.append((tokens, pair_keys(tokens)))
+                size += len(tokens)
+                if size >= TOKENS:
                     yield flush()
-        if ends:
-            seen[END.encode()] = ends
-        yield flush()
+                    size = 0
+        if held:
+            yield flush()
+        tidy()
 
-    return docs.select(text).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(run, "shard int, w binary, p binary, c binary, n binary")
 
 
-class Filter:
-    """Log-frequency Bloom filter of pairs: a power of two of bits in equal shards, the highest level put in, and
-    either `bits`, a byte array of all of them, or `rows`, a frame (shard, bits)."""
+def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
-    def __init__(self, size: int, top: int, bits: np.ndarray | None = None, rows: DataFrame | None = None):
-        self.shards, self.top, self.bits, self.rows = self.number(size), top, bits, rows
-        self.part = size // self.shards
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": None}
-
-    @staticmethod
-    def size(insertions: int) -> int:
-        return 1 << math.ceil(math.log2(max(LEAST_BITS, insertions * BITS_A_KEY)))
-
-    @staticmethod
-    def number(size: int) -> int:
-        return max(SHARDS, size // PART)
-
-    @staticmethod
-    def shard(keys: np.ndarray, shards: int) -> np.ndarray:
-        return (_mix(keys.astype(_U) + _U(0x51ED27)) >> _U(65 - shards.bit_length())).astype(np.int64)
-
-    @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray | int, part: int) -> list[np.ndarray]:
-        """Bits of each key at a level, within its shard."""
-        h = _mix(keys.astype(_U) * _U(0x9E3779B97F4A7C15) + np.asarray(level).astype(_U))
-        a, b = h & _U(0xFFFFFFFF), (h >> _U(32)) | _U(1)
-        return [((a + _U(i) * b) & _U(part - 1)).astype(np.int64) for i in range(PROBES)]
-
-    @staticmethod
-    def level(counts: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(np.log(counts / LEAST_COUNT) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
-
-    def counts(self, keys: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
-        """Quantised counts, 0 for pairs that were not put in (or, rarely, too much); with bits of one shard, its keys."""
-        found = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        base = self.shard(keys, self.shards) * self.part if bits is None else np.zeros(len(keys), np.int64)
-        bits = self.bits if bits is None else bits
-        for level in range(1, self.top + 1):
-            if not len(live):
-                break
-            k, hit = keys[live], np.ones(len(live), bool)
-            for place in self.places(k, level, self.part):
-                at = base[live] + place
-                hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
-            found[live] = level
-        return np.where(found > 0, LEAST_COUNT * LEVEL_BASE ** (found - 1.0) * (LEVEL_BASE - 1) / math.log(LEVEL_BASE), 0.0)
-
-    def look_up(self, keys: DataFrame) -> DataFrame:
-        """(pair, n) of the distinct `pair`s that are in, each probed at its shard."""
-        own, shards = self, self.shards
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not (len(left) and len(right)):
-                return pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.float64())})
-            pair = left.column("pair").to_numpy()
-            n = own.counts(pair, np.frombuffer(right.column("bits")[0].as_py(), np.uint8))
-            return pa.table({"pair": pair[n > 0], "n": n[n > 0]})
-
-        dealt = keys.mapInArrow(_dealer(shards), "shard int, pair long")
-        return dealt.groupBy("shard").cogroup(self.rows.groupBy("shard")).applyInArrow(run, "pair long, n double")
-
-
-def _dealer(shards: int):
-    """Puts the shard before the columns, of which the first is the pair."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.shard(b.column(0).to_numpy(), shards), pa.int32()), *b.columns], names=["shard", *b.schema.names])
+
+def _places(local: np.ndarray, level: np.ndarray | int, size: int) -> list[np.ndarray]:
+    """Bits of keys at a level, in a shard of `size` bits."""
+    h = mix((local.astype(_U) + (np.asarray(level).astype(_U) << _U(32))) * _U(0x9E3779B97F4A7C15))
+    a, b = h & _LOW, (h >> _U(32)) | _U(1)
+    return [((((a + _U(i) * b) & _LOW) * _U(size)) >> _U(32)).astype(np.int64) for i in range(PROBES)]
+
+
+def fill(local: np.ndarray, depth: np.ndarray, density: int = BITS) -> tuple[bytes, int]:
+    """(bits, their number) of a shard that holds each key at all levels up to its depth."""
+    size = max(64, int(depth.sum()) * density)
+    bits = np.zeros(size, bool)
+    for level in range(1, int(depth.max(initial=0)) + 1):
+        for place in _places(local[depth >= level], level, size):
+            bits[place] = True
+    return np.packbits(bits).tobytes(), size
+
+
+def probe(local: np.ndarray, bits: np.ndarray, size: int, top: int) -> np.ndarray:
+    """The level up to which each key is there."""
+    found, live = np.zeros(len(local), np.uint8), np.arange(len(local))
+    for level in range(1, top + 1):
+        if not len(live):
+            break
+        hit = np.ones(len(live), bool)
+        for place in _places(local[live], level, size):
+            hit &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+        live = live[hit]
+        found[live] = level
+    return found
+
+
+def _merge(bits: int, density: int):
+    """A shard of the filter with its words: (shard, bits, size, top, w, c, words, total)."""
+
+    def run(pieces: pa.Table) -> pa.Table:
+        words, c = _summed(_joined(pieces.column("w"), _U), _joined(pieces.column("c"), np.uint32))
+        pairs, n = _summed(_joined(pieces.column("p"), np.uint32), _joined(pieces.column("n"), np.uint32))
+        depth = levels(np.concatenate([c, n]))
+        made, size = fill(np.concatenate([_local(words, bits), pairs]), depth, density)
+        return pa.table({"shard": pa.array([pieces.column("shard")[0].as_py()], pa.int32()), "bits": [made], "size": [size], "top": [int(depth.max())], "w": [words.tobytes()], "c": [c.tobytes()], "words": [len(words)], "total": [int(c.sum())]})
 
     return run
 
 
-def build_filter(pairs: DataFrame) -> Filter:
-    """The filter of (pair, n)."""
-    level = F.lit(1) + F.floor(F.log(F.col("n") / LEAST_COUNT) / math.log(LEVEL_BASE) + 1e-9)
-    insertions, top = pairs.agg(F.coalesce(F.sum(level), F.lit(0)), F.coalesce(F.max(level), F.lit(0))).first()
-    size = Filter.size(insertions)
-    part = size // Filter.number(size)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            shard, pair, n = (b.column(i).to_numpy() for i in range(3))
-            order = np.argsort(shard, kind="stable")
-            shard, pair, levels = shard[order], pair[order], Filter.level(n[order])
-            own = np.unique(shard)
-            for s, x, y in zip(own.tolist(), np.searchsorted(shard, own), np.searchsorted(shard, own, side="right")):
-                bits = parts.setdefault(s, np.zeros(part // 8, np.uint8))
-                depth = levels[x:y]
-                keys, at = np.repeat(pair[x:y], depth), np.concatenate([np.arange(1, d + 1) for d in depth.tolist()])
-                for place in Filter.places(keys, at, part):
-                    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        for s in list(parts):
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "bits": pa.array([parts.pop(s).tobytes()], pa.binary())})
-
-    rows = pairs.select("pair", "n").mapInArrow(_dealer(Filter.number(size)), "shard int, pair long, n long").repartition("shard").mapInArrow(fill, "shard int, bits binary")
-    if size > MOST_BITS:
-        return Filter(size, top, rows=cut(rows))
-    bits = np.zeros(size // 8, np.uint8)
-    for shard, own in rows.toLocalIterator():  # SHARDS rows of fixed size
-        bits[shard * part // 8 : (shard + 1) * part // 8] |= np.frombuffer(own, np.uint8)
-    return Filter(size, top, bits)
+_PARTS = "shard int, bits binary, size long, top long, w binary, c binary, words long, total long"
+
+
+class Part:
+    """One shard."""
+
+    def __init__(self, row):
+        self.bits, self.size, self.top = np.frombuffer(row["bits"], np.uint8), row["size"], row["top"]
+        self.words, self.counts = np.frombuffer(row["w"], _U), np.frombuffer(row["c"], np.int64)
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        return np.where(self.words[at] == words, self.counts[at], 0) if len(self.words) else np.zeros(len(words), np.int64)
+
+    def levels(self, local: np.ndarray) -> np.ndarray:
+        return probe(local, self.bits, self.size, self.top)
 
 
 class Model:
-    """What scoring needs at the workers, of bounded size: frequent words with counts and rests, the filter up to MOST_BITS, totals."""
+    """What was learned: the frame of its shards, their number as bits, the totals, and, where small, the shards themselves."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, rest: np.ndarray, least: int, total: int, distinct: int):
-        self.words, self.counts, self.rest, self.least, self.total, self.distinct = words, counts, rest, least, total, distinct
-        self.ids: dict[bytes, int] | None = None
-        self.filter: Filter | None = None
+    def __init__(self, parts: DataFrame, bits: int):
+        self.parts, self.bits = parts, bits
+        bytes_ = F.octet_length("bits") + F.octet_length("w") + F.octet_length("c")
+        self.total, self.distinct, self.bytes = (x or 0 for x in parts.agg(F.sum("total"), F.sum("words"), F.sum(bytes_)).first())
+        self.local = {r["shard"]: Part(r) for r in parts.collect()} if self.bytes <= MOST_BYTES else None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"ids": None}
-
-    def ready(self) -> dict[bytes, int]:
-        if self.ids is None:
-            self.ids = {w.encode(): i for i, w in enumerate(self.words)}
-        return self.ids
-
-    @property
-    def denominator(self) -> float:
-        return self.total + SMOOTHING * (self.distinct + 1)
-
-    def log_p(self) -> np.ndarray:
-        """Of each frequent word; then of a word never seen, which stands for all others until they are looked up."""
-        return np.log10((np.append(self.counts, 0) + SMOOTHING) / self.denominator) if self.denominator else np.zeros(len(self.counts) + 1)
-
-
-def unigrams(counts: DataFrame) -> Model:
-    """Frequent words of (word, c, rest): the end and those above the lowest count, on a log scale, that no more than FREQUENT words reach."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    step = F.floor(F.log2("c") * 4).cast("int")
-    reach = sorted(((s, n) for s, n in counts.groupBy(step.alias("s")).count().collect()), reverse=True)  # at most 256 rows
-    kept, least = 0, 1 << 30
-    for s, n in reach:
-        if kept + n > FREQUENT:
-            break
-        kept, least = kept + n, s
-    got = counts.where((step >= least) | (F.col("word") == END)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    c = got["c"].to_numpy(np.int64)
-    reached = c[np.floor(np.log2(c) * 4) >= least]
-    return Model(got["word"].tolist(), c, got["rest"].to_numpy(np.float64), int(reached.min()) if len(reached) else 1 << 62, total, distinct)
+        return self.__dict__ | {"parts": None, "local": None}
 
+    def look(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exact counts of words, their levels, levels of pairs) of sorted keys, from the shards at hand."""
+        c, lw, lp = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8)
+        for shard, a, b in zip(*(x.tolist() for x in _split(words, self.bits))):
+            if part := self.local.get(shard):
+                c[a:b], lw[a:b] = part.exact(words[a:b]), part.levels(_local(words[a:b], self.bits))
+        for shard, a, b in zip(*(x.tolist() for x in _split(pairs, self.bits))):
+            if part := self.local.get(shard):
+                lp[a:b] = part.levels(_local(pairs[a:b], self.bits))
+        return c, lw, lp
 
-def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, h, n) of the pairs that stand LEAST_COUNT times or more; h is the history's key."""
+    def scores(self, tokens: np.ndarray, sizes: np.ndarray, look) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of each text; look is as above."""
+        words, at = np.unique(tokens, return_inverse=True)
+        pairs, at_pair = np.unique(pair_keys(tokens), return_inverse=True)
+        c, lw, lp = look(words, pairs)
+        whole = self.total + SMOOTHING * (self.distinct + 1)
+        counts = VALUES[lw]
+        p = np.minimum(1.0, (counts + SMOOTHING) / whole)
+        own, before = counts[at], counts[np.roll(at, 1)]
+        n = np.minimum(VALUES[lp][at_pair], np.minimum(own, before))
+        term = np.log10((n + PRIOR * p[at]) / (before + PRIOR))
+        first = np.cumsum([0, *sizes[:-1]])
+        add = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0, x.dtype)
+        return {"n_tokens": sizes.astype(np.int64), "n_known": add((c > 0).astype(np.int64)[at]), "base_score": add(np.log10((c + SMOOTHING) / whole)[at]), "score": add(term)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size, none = Keys(), [], 0, np.empty(0, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            pair, h = (np.concatenate([none, *x]) for x in (zip(*held) if held else ((), ())))
-            held.clear()
-            order = np.argsort(pair)
-            pair = pair[order]
-            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else none
-            return pa.RecordBatch.from_pydict({"pair": pa.array(pair[first], pa.int64()), "h": pa.array(h[order[first]], pa.int64()), "n": pa.array(np.diff(np.append(first, len(pair))), pa.int64())})
+def _bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = _tokens(t)
-                words.append(END.encode())
-                w = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                h = np.roll(w, 1)  # the end comes before the first
-                held.append((pair_keys(h, w), h))
-                size += len(w)
-                if size >= PAIRS:
-                    yield flush()
-                    size = 0
-        yield flush()
 
-    counted = docs.select(text).mapInArrow(run, "pair long, h long, n long").groupBy("pair", "h").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= LEAST_COUNT)
+def train(docs: DataFrame, text: str = "text") -> Model:
+    bits = max(4, math.ceil(math.log2(max(1, _bytes(docs, text) / SHARD))))
+    return Model(stored(_counted(docs, bits, text).groupBy("shard").applyInArrow(_merge(bits, BITS), _PARTS)), bits)
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and (word, c, rest) of all words."""
-    pairs = cut(count_pairs(docs, text))
-    mass = pairs.groupBy(F.col("h").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("m"))
-    rest = F.greatest(F.lit(1e-4), F.least(F.lit(1.0), 1 - F.coalesce("m", F.lit(0.0)) / F.col("c")))
-    counts = cut(count_words(docs, text).withColumn("key", word_key(F.col("word"))).join(mass, "key", "left").select("word", "c", rest.alias("rest")))
-    model = unigrams(counts)
-    model.filter = build_filter(pairs)
-    return model, counts
+_RESULTS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _near(docs: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
+    """Scores with the shards at every worker; docs: (__key, __text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, {k: p.__dict__ for k, p in model.local.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        log_p = m.log_p()
-        p = 10.0**log_p  # -1 is the last: a word never seen
-        count, rest, get, cache, end = np.append(m.counts, 0), np.append(m.rest, 1.0), m.ready().get, Keys(), END.encode()
-        keys = np.array([cache[w] for w in m.ready()] + [0], np.int64)
-        local = m.filter.bits is not None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                words, sizes = [], []
-                for t in batch.column(3).to_pylist():
-                    own = _tokens(t)
-                    sizes.append(len(own) + 1)
-                    words += own
-                    words.append(end)
-                w = np.fromiter((get(x, -1) for x in words), np.int64, len(words))
-                k = keys[w]
-                lost = np.flatnonzero(w < 0)
-                k[lost] = [cache[words[i]] for i in lost.tolist()]
-                h = np.roll(w, 1)  # each text ends, and starts after an end
-                pair = pair_keys(np.roll(k, 1), k)
-                known = (h >= 0) & (w >= 0)
-                # where a pair can have been kept; of what is not frequent that is settled by the joins below
-                may = ((h < 0) | (rest[h] < 1)) & ((w < 0) | (count[w] >= LEAST_COUNT))
-                n = np.zeros(len(w))
-                if local and may.any():
-                    n[may] = m.filter.counts(pair[may])
-                open_, raw = (n > 0) & ~known if local else may, n
-                n = np.minimum(n, np.minimum(count[h], count[w]))
-                seen = np.minimum(np.maximum(n - DISCOUNT, 0) / np.maximum(count[h], 1), 1 - rest[h])
-                term = np.where(open_, 0.0, np.log10(seen + rest[h] * p[w]))
-                starts = np.cumsum([0, *sizes])
-                add = lambda x: np.add.reduceat(x, starts[:-1])
-                # a word beyond the frequent ones, after a digit: 1 if it adds to the score as a word, 2 if as a history
-                lost = np.array([i for i in lost.tolist() if words[i] != end], np.int64)
-                flags = (~open_[lost] + 2 * ~open_[(lost + 1) % len(w)]).tolist() if len(lost) else []
-                marked = [b"%d%s" % (f, words[i]) for f, i in zip(flags, lost.tolist())]
-                cuts = np.searchsorted(lost, starts).tolist()
-                rare = [b" ".join(marked[x:y]) or None for x, y in zip(cuts, cuts[1:])]
-                o = np.flatnonzero(open_)
-                part = lambda at: pa.array([None if x >= 0 else words[i] for i, x in zip(at.tolist(), (w[at]).tolist())], pa.binary()).cast(pa.string())
-                pairs = pa.StructArray.from_arrays([part((o - 1) % len(w)), part(o), pa.array(pair[o]), pa.array(raw[o]), pa.array(count[h[o]]), pa.array(rest[h[o]]), pa.array(count[w[o]])], names=["h", "w", "pair", "n", "ch", "rest", "cw"])
-                opened = pa.ListArray.from_arrays(pa.array(np.searchsorted(o, starts), pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(add((w >= 0).astype(np.int64))), pa.array(add(log_p[w])), pa.array(add(term)), pa.array(rare, pa.binary()).cast(pa.string()), opened], names=["__key", "__a", "__b", "n_tokens", "__known", "__base", "__score", "__rare", "__open"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    ids = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(key), F.col(text)).alias("__a"), F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("__b"), text)
-    rows = cut(ids.mapInArrow(run, f"__key {kind}, __a long, __b long, n_tokens long, __known long, __base double, __score double, __rare string, __open array<struct<h:string,w:string,pair:long,n:double,ch:long,rest:double,cw:long>>"))
-    lesser = counts.where(F.col("c") < model.least)
-    # tokens beyond the frequent words: what their counts, and their rests as histories, add to the score of a word never seen
-    rare = rows.where(F.col("__rare").isNotNull()).select("__a", "__b", F.explode(F.split("__rare", " ")).alias("word"))
-    rare = rare.select("__a", "__b", F.substring("word", 1, 1).cast("int").alias("flag"), F.expr("substring(word, 2)").alias("word"))
-    more = F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)
-    when = lambda bit, x: F.when(F.col("flag").bitwiseAND(bit) > 0, x).otherwise(0.0)
-    zero = F.lit(0.0)
-    found = rare.join(lesser, "word").select("__a", "__b", F.lit(1).alias("n"), more.alias("base"), (when(1, more) + when(2, F.log10("rest"))).alias("score"))
-    # pairs that are not settled by what is broadcast
-    opened = rows.where(F.size("__open") > 0).select("__a", "__b", F.explode("__open").alias("p")).select("__a", "__b", "p.*")
-    if model.filter.rows is not None:
-        opened = cut(opened)
-        opened = opened.drop("n").join(model.filter.look_up(opened.select("pair").distinct()), "pair", "left")
-    for side in ("h", "w"):  # frequent words are null here, and spread
-        of = lesser.select(F.col("word").alias(f"__{side}"), F.col("c").alias(f"__c{side}"), F.col("rest").alias(f"__rest{side}"))
-        opened = opened.withColumn(f"__{side}", F.coalesce(side, F.concat(F.lit("  "), F.col("__a").cast("string")))).join(of, f"__{side}", "left")
-    ch, cw, rest = F.coalesce("__ch", "ch"), F.coalesce("__cw", "cw"), F.coalesce("__resth", "rest")
-    n = F.least(F.coalesce("n", zero), ch, cw)
-    seen = F.when(ch > 0, F.least(F.greatest(n - DISCOUNT, zero) / ch, 1 - rest)).otherwise(0.0)
-    settled = opened.select("__a", "__b", F.lit(0).alias("n"), zero.alias("base"), F.log10(seen + rest * (cw + SMOOTHING) / model.denominator).alias("score"))
-    found = found.unionByName(settled).groupBy("__a", "__b").agg(F.sum("n").alias("__n"), F.sum("base").alias("__more"), F.sum("score").alias("__rest"))
-    copies = rows.groupBy("__a", "__b").agg(F.count("*").alias("__copies"))
-    out = rows.drop("__rare", "__open").join(found.join(copies, ["__a", "__b"]), ["__a", "__b"], "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("__copies"), zero)
-    return out.select(F.col("__key").alias(key), "n_tokens", (F.col("__known") + F.round(share("__n")).cast("long")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("__base") + share("__more")).alias("base_score"), (F.col("__score") + share("__rest")).alias("score"))
+        m, parts = shared.value
+        m.local = {}
+        for shard, held in parts.items():
+            m.local[shard] = Part.__new__(Part)
+            m.local[shard].__dict__ = held
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = m.scores(*token_keys(part.column(1).to_pylist()), m.look)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(found[f.name]) for f in _RESULTS]], names=["__key", *[f.name for f in _RESULTS]])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _far(docs: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
+    """Scores with the shards asked by chunks of the texts; docs: (__key, __text)."""
+    chunks = max(1, math.ceil(_bytes(docs, "__text") / CHUNK))
+    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("__key", "__text"), F.lit(chunks)).cast("long"))
+    bits, own = model.bits, model
+
+    def ask(chunk: pa.Table) -> pa.Table:
+        tokens, _ = token_keys(chunk.column("__text").to_pylist())
+        made = _packed(np.unique(tokens), np.unique(pair_keys(tokens)), bits)
+        number = pa.array([chunk.column("__chunk")[0].as_py()] * len(made["shard"]), pa.int64())
+        return pa.table({"shard": made["shard"], "__chunk": number, "w": made["w"], "p": made["p"]})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        part = Part(held.to_pylist()[0]) if len(held) else None
+        out = {"__chunk": asked.column("__chunk"), "shard": asked.column("shard"), "c": [], "lw": [], "lp": []}
+        for w, p in zip(asked.column("w").to_pylist(), asked.column("p").to_pylist()):
+            words, pairs = np.frombuffer(w, _U), np.frombuffer(p, np.uint32)
+            out["c"].append((part.exact(words) if part else np.zeros(len(words), np.int64)).tobytes())
+            out["lw"].append((part.levels(_local(words, bits)) if part else np.zeros(len(words), np.uint8)).tobytes())
+            out["lp"].append((part.levels(pairs) if part else np.zeros(len(pairs), np.uint8)).tobytes())
+        return pa.table(out | {k: pa.array(out[k], pa.binary()) for k in ("c", "lw", "lp")})
+
+    def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("shard")
+
+        def look(words: np.ndarray, pairs: np.ndarray):
+            got = _joined(answers.column("c"), np.int64), _joined(answers.column("lw"), np.uint8), _joined(answers.column("lp"), np.uint8)
+            if (len(got[0]), len(got[2])) != (len(words), len(pairs)):
+                raise RuntimeError("a chunk changed between its two readings")
+            return got
+
+        found = own.scores(*token_keys(chunk.column("__text").to_pylist()), look)
+        return pa.table({"__key": chunk.column("__key"), **{f.name: pa.array(found[f.name]) for f in _RESULTS}})
+
+    asks = dealt.groupBy("__chunk").applyInArrow(ask, "shard int, __chunk long, w binary, p binary")
+    answers = asks.groupBy("shard").cogroup(model.parts.select("shard", "bits", "size", "top", "w", "c").groupBy("shard")).applyInArrow(answer, "__chunk long, shard int, c binary, lw binary, lp binary")
+    return dealt.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(finish, schema)
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), *_RESULTS])
+    out = (_near if model.local is not None else _far)(rows, model, schema)
+    return out.select(F.col("__key").alias(key), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """Scores of all rows by a model of the rows not held out."""
     out = held_out(F.col(key), folds, 0)
-    model, counts = train(docs.where(~out), text)
-    scored = score(docs, model, counts, key, text)
+    scored = score(docs, train(docs.where(~out), text), key, text)
     return scored.select(key, out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -36,74 +36,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, tidy
+from .words import mix as _mix
+from .words import word_hashes
 
 REGISTERS, ROWS, BASE, RATE = 256, 6, 1.02, 20.0
 BANDS = REGISTERS // ROWS
 #: Pairs estimated this far under the threshold are dropped: six standard errors of the estimate.
 MARGIN = 0.15
-#: Bytes of text hashed at once; members compared at once; members of a star confirmed by one task.
-SLICE, BLOCK, STAR = 1 << 20, 512, 512
+#: Bytes of text described at once; members compared at once; members of a star confirmed by one task.
+SLICE, BLOCK, STAR = 1 << 19, 512, 512
 #: Documents whose full sets are needed go to all executors by key only up to so many.
 BROADCAST_KEYS = 1_000_000
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 2 * SLICE)
-        inverse = pow(_P, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(n - 1, b, _U)])) for b in (_P, inverse)]
-    return _powers[0], _powers[1]
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, text it is in): A-Z lower-cased, parted by the six ASCII blanks."""
-    raw = [t.encode() for t in texts]
-    b = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-    starts = np.cumsum([1, *[len(r) + 1 for r in raw]])
-    b = b + (((b >= 65) & (b <= 90)) * np.uint8(32)).astype(np.uint8)
-    word = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    first, last = edge[::2], edge[1::2]
-    power, inverse = _powers_to(len(b) + 1)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * power[: len(b)])])
-    h = _mix((total[last] - total[first]) * inverse[first] + (last - first).astype(_U))
-    return h, np.searchsorted(starts, first, side="right") - 1
 
 
 def shingle_sets(texts: list[str], size: int = 2) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (end == at or n + len(texts[end]) <= SLICE):
-            n += len(texts[end])
-            end += 1
-        h, of = word_hashes(texts[at:end])
-        bounds = np.searchsorted(of, np.arange(end - at + 1))
-        for i in range(end - at):
-            w = h[bounds[i] : bounds[i + 1]]
-            if not len(w):
-                out.append(np.empty(0, _U))
-                continue
-            width = min(size, len(w))
-            s = w[: len(w) - width + 1].copy()
-            for k in range(1, width):
-                s = _mix(s) * _U(3) + w[k : len(w) - width + 1 + k]
-            out.append(np.unique(_mix(s + _U(width))))
-        at = end
+    h, of = word_hashes(texts)
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        w = h[bounds[i] : bounds[i + 1]]
+        if not len(w):
+            out.append(np.empty(0, _U))
+            continue
+        width = min(size, len(w))
+        s = w[: len(w) - width + 1].copy()
+        for k in range(1, width):
+            s = _mix(s) * _U(3) + w[k : len(w) - width + 1 + k]
+        out.append(np.unique(_mix(s + _U(width))))
     return out
 
 
@@ -169,12 +132,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces of 512 rows and about two SLICEs of text (column 1) at most, since a set's temporary arrays take many times its text."""
+    """Batches in pieces of 512 rows and about a SLICE of text (column 1) at most, since a set's temporary arrays take many times its text."""
     for whole in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
-            if i > start and (size + n > 2 * SLICE or i - start >= 512):
+            if i > start and (size + n > SLICE or i - start >= 512):
                 yield whole.slice(start, i - start)
                 start, size = i, 0
             size += n

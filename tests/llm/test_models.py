@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from stowage.llm import bpe, knn, langid, lm, setsketch, toxicity
+from stowage.llm import words as word_stream
 from stowage.llm.queries import tokenizer_path
 
 from .conftest import pairs, rows, text
@@ -177,9 +178,10 @@ def test_all_windows_overlap():
         assert n <= 32 or all(w[i][16:].tolist() == w[i + 1][:16].tolist() for i in range(len(w) - 1))
 
 
-@pytest.mark.parametrize("frequent", [lm.FREQUENT, 20])
-def test_base_scores_match_brute_force(odd, monkeypatch, frequent):
-    monkeypatch.setattr(lm, "FREQUENT", frequent)
+@pytest.mark.parametrize("most", [lm.MOST_BYTES, 0])
+def test_base_scores_match_brute_force(odd, monkeypatch, most):
+    monkeypatch.setattr(lm, "MOST_BYTES", most)
+    monkeypatch.setattr(lm, "CHUNK", 20_000)
     got = lm.held_out_scores(odd).collect()
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     c = Counter()
@@ -196,19 +198,77 @@ def test_base_scores_match_brute_force(odd, monkeypatch, frequent):
     assert all(r["score"] <= 0 for r in got)
 
 
-def test_language_model_of_nothing(none):
+def test_language_model_of_nothing(spark, none):
     assert lm.held_out_scores(none).count() == 0
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = lm.score(docs, lm.train(docs.limit(0))).collect()
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got} == {(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)}
 
 
-def test_filter_holds_what_was_put_in(spark):
+def test_filter_holds_what_was_put_in():
     r = np.random.default_rng(0)
-    keys = np.unique(r.integers(0, 1 << 30, 3000))
-    n = r.integers(2, 5000, len(keys))
-    f = lm.build_filter(spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "pair long, n long"))
-    level = lm.Filter.level(n)
-    got = f.counts(keys)
-    assert (got >= lm.LEAST_COUNT * lm.LEVEL_BASE ** (level - 1) * 0.999).all()
-    assert np.mean(f.counts(np.arange(1 << 31, (1 << 31) + 3000)) > 0) < 0.1
+    keys = np.unique(r.integers(0, 1 << 32, 3000)).astype(np.uint32)
+    n = r.integers(1, 5000, len(keys))
+    bits, size = lm.fill(keys, lm.levels(n))
+    got = lm.probe(keys, np.frombuffer(bits, np.uint8), size, 100)
+    assert (got >= lm.levels(n)).all() and np.mean(got > lm.levels(n)) < 0.05
+    assert np.mean(lm.probe(r.integers(0, 1 << 32, 3000).astype(np.uint32), np.frombuffer(bits, np.uint8), size, 100) > 0) < 0.05
+    assert size == lm.BITS * int(lm.levels(n).sum())  # it follows the insertions
+    for level in range(1, 30):
+        held = [c for c in range(1, 200_000) if lm.LEVEL_BASE ** (level - 1) <= c + 1e-9 < lm.LEVEL_BASE**level]
+        assert not held or lm.VALUES[level] == (held[0] + held[-1]) / 2
+
+
+def test_all_words_and_pairs_count_and_no_score_exceeds_zero(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    said = [f"{r.choice(words)} {r.choice(words)}" for _ in range(200)]
+    data = [(i, " ".join(r.choice(said) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(7, "once only"), (500, "w1 never")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    split = lambda t: [" ", *t.split(), " "]
+    n, c = Counter(), Counter()
+    for _, t in data[:-1]:
+        n.update(zip(split(t), split(t)[1:]))
+        c.update(split(t)[1:])
+    total = sum(c.values())
+
+    def q(count):
+        if not count:
+            return 0
+        low = 1.0
+        while low * 1.5 <= count + 1e-9:
+            low *= 1.5
+        own = [x for x in range(math.ceil(low - 1e-9), math.ceil(low * 1.5 - 1e-9))]
+        return sum(own) / len(own)
+
+    def term(h, w):
+        p = min(1, (q(c[w]) + 0.1) / (total + 0.1 * (len(c) + 1)))
+        return math.log10((min(q(n[h, w]), q(c[h]), q(c[w])) + lm.PRIOR * p) / (q(c[h]) + lm.PRIOR))
+
+    want = sorted((i, round(sum(term(*x) for x in zip(split(t), split(t)[1:])), 6)) for i, t in data)
+    monkeypatch.setattr(lm, "BITS", 2000)  # no false hits
+    for most, shard, chunk in ((lm.MOST_BYTES, lm.SHARD, lm.CHUNK), (0, lm.SHARD, lm.CHUNK), (0, 20, 500), (lm.MOST_BYTES, 20, 500)):
+        monkeypatch.setattr(lm, "MOST_BYTES", most)
+        monkeypatch.setattr(lm, "SHARD", shard)
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        model = lm.train(docs.where("doc_id < 500"))
+        assert (model.local is None) == (most == 0)
+        got = sorted((x["doc_id"], round(x["score"], 6)) for x in lm.score(docs, model).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want)), (most, shard)
+    # a filter of false hits only
+    for part in model.local.values():
+        part.bits, part.top = np.full(len(part.bits), 255, np.uint8), 100
+    assert all(x["score"] <= 0 for x in lm.score(docs, model).collect())
+
+
+def test_long_texts_and_words_hash_alike_in_pieces(monkeypatch):
+    r = random.Random(4)
+    texts = [text(r, 300), "x" * 700 + "Éß" * 300, "", "a " + "Qé" * 500 + "\tb \n", " " * 900, "one"]
+    want = [x.copy() for x in word_stream.word_hashes(texts)]
+    assert len(want[0]) == sum(len(t.encode().split()) for t in texts)
+    monkeypatch.setattr(word_stream, "SLICE", 100)
+    got = word_stream.word_hashes(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
 def brute_components(data, percent=80):
@@ -269,45 +329,3 @@ def test_components_of_paths_and_stars(spark):
     got = dict(setsketch.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in [*range(41), *range(100, 120)]} == {0} and got[500] == 499
     assert setsketch.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_all_repeated_pairs_count_and_no_score_exceeds_zero(spark, monkeypatch):
-    r = random.Random(3)
-    words = [f"w{i}" for i in range(400)]
-    said = [f"{r.choice(words)} {r.choice(words)}" for _ in range(200)]
-    data = [(i, " ".join(r.choice(said) for _ in range(r.randint(0, 30)))) for i in range(120)] + [(7, "once only"), (500, "w1 never")]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    split = lambda t: [" ", *t.split(), " "]
-    n, c = Counter(), Counter()
-    for _, t in data:
-        n.update(zip(split(t), split(t)[1:]))
-        c.update(split(t)[1:])
-    n = {k: v for k, v in n.items() if v >= lm.LEAST_COUNT}
-    mass = Counter()
-    for (h, _), v in n.items():
-        mass[h] += v - 1
-    total, unit = sum(c.values()), lm.LEVEL_BASE
-
-    def term(h, w):
-        rest = min(1, max(1e-4, 1 - mass[h] / c[h])) if c[h] else 1
-        level = 1 + math.floor(math.log(n[h, w] / 2, unit) + 1e-9) if (h, w) in n else 0
-        q = min(2 * unit ** (level - 1) * (unit - 1) / math.log(unit), c[h], c[w]) if level else 0
-        return math.log10(min(max(q - 1, 0) / max(c[h], 1), 1 - rest) + rest * (c[w] + 0.1) / (total + 0.1 * (len(c) + 1)))
-
-    want = sorted((i, round(sum(term(*x) for x in zip(split(t), split(t)[1:])), 6)) for i, t in data)
-    monkeypatch.setattr(lm, "BITS_A_KEY", 400)  # no false hits
-    for frequent, most, part in ((lm.FREQUENT, lm.MOST_BITS, lm.PART), (40, lm.MOST_BITS, lm.PART), (0, lm.MOST_BITS, lm.PART), (40, 0, 256)):
-        monkeypatch.setattr(lm, "FREQUENT", frequent)
-        monkeypatch.setattr(lm, "MOST_BITS", most)
-        monkeypatch.setattr(lm, "PART", part)
-        model, counts = lm.train(docs)
-        assert (model.filter.rows is not None) == (most == 0)
-        got = sorted((x["doc_id"], round(x["score"], 6)) for x in lm.score(docs, model, counts).collect())
-        assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want)), (frequent, most)
-    # a filter of false hits only
-    model.filter = lm.Filter(1 << 16, 200, np.full(1 << 13, 255, np.uint8))
-    assert all(x["score"] <= 0 for x in lm.score(docs, model, counts).collect())
-
-
-def test_filter_follows_the_insertions():
-    assert lm.Filter.size(1 << 36) >= lm.BITS_A_KEY << 36
