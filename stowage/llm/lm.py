@@ -39,9 +39,11 @@ from .words import mix, word_hashes
 
 BITS, PROBES, LEVEL_BASE, PRIOR, SMOOTHING = 10, 3, 1.5, 2.0, 0.1
 #: Bytes of the filter and the word counts that go to all executors, of training text for each shard, of text in a chunk.
-MOST_BYTES, SHARD, CHUNK = 1 << 24, 1 << 22, 1 << 22
+MOST_BYTES, SHARD, CHUNK = 1 << 24, 1 << 22, 1 << 23
 #: Tokens that a task gathers before it hands their counts on.
-TOKENS = 2_000_000
+TOKENS = 4_000_000
+#: Arrays from this length on are moved compressed.
+PRESSED = 64
 
 _U = np.uint64
 #: The key of the end of a text.
@@ -92,8 +94,25 @@ def _split(keys: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tup
     return shards, np.searchsorted(own, shards), np.searchsorted(own, shards, side="right")
 
 
-def _blobs(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
-    return pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())], pa.binary())
+def press(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array as few bytes: differences of ascending numbers, byte by byte, by zstd."""
+    if len(x) < PRESSED:
+        return b"\0" + x.tobytes()
+    step = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
+    planes = np.ascontiguousarray(step.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return (b"\2" if ascending else b"\1") + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpress(blob: bytes, dtype) -> np.ndarray:
+    if not blob[:1].strip(b"\0"):
+        return np.frombuffer(blob, dtype, offset=1)
+    planes = pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), "zstd", asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+    return np.cumsum(x, dtype=dtype) if blob[0] == 2 else x
+
+
+def _blobs(x: np.ndarray, first: np.ndarray, end: np.ndarray, ascending: bool = False) -> pa.Array:
+    return pa.array([press(x[a:b], ascending) for a, b in zip(first.tolist(), end.tolist())], pa.binary())
 
 
 def _packed(words: np.ndarray, pairs: np.ndarray, bits: int, more: dict[str, tuple[np.ndarray, bool]] | None = None) -> dict[str, pa.Array]:
@@ -101,7 +120,7 @@ def _packed(words: np.ndarray, pairs: np.ndarray, bits: int, more: dict[str, tup
     shards = np.union1d(_shards(words, bits), _shards(pairs, bits))
     _, a, b = _split(words, bits, shards)
     _, c, d = _split(pairs, bits, shards)
-    out = {"shard": pa.array(shards, pa.int32()), "w": _blobs(words, a, b), "p": _blobs(_local(pairs, bits), c, d)}
+    out = {"shard": pa.array(shards, pa.int32()), "w": _blobs(words, a, b, True), "p": _blobs(_local(pairs, bits), c, d, True)}
     for name, (x, of_pairs) in (more or {}).items():
         out[name] = _blobs(x, c, d) if of_pairs else _blobs(x, a, b)
     return out
@@ -134,8 +153,12 @@ def _counted(docs: DataFrame, bits: int, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "shard int, w binary, p binary, c binary, n binary")
 
 
+def _each(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    return [np.empty(0, dtype), *[unpress(x, dtype) for x in column.to_pylist()]]
+
+
 def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+    return np.concatenate(_each(column, dtype))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,13 +315,11 @@ def _far(docs: DataFrame, model: Model, schema: T.StructType) -> DataFrame:
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         part = Part(held.to_pylist()[0]) if len(held) else None
-        out = {"__chunk": asked.column("__chunk"), "shard": asked.column("shard"), "c": [], "lw": [], "lp": []}
-        for w, p in zip(asked.column("w").to_pylist(), asked.column("p").to_pylist()):
-            words, pairs = np.frombuffer(w, _U), np.frombuffer(p, np.uint32)
-            out["c"].append((part.exact(words) if part else np.zeros(len(words), np.int64)).tobytes())
-            out["lw"].append((part.levels(_local(words, bits)) if part else np.zeros(len(words), np.uint8)).tobytes())
-            out["lp"].append((part.levels(pairs) if part else np.zeros(len(pairs), np.uint8)).tobytes())
-        return pa.table(out | {k: pa.array(out[k], pa.binary()) for k in ("c", "lw", "lp")})
+        each = _each(asked.column("w"), _U)[1:], _each(asked.column("p"), np.uint32)[1:]
+        words, pairs = (np.concatenate([none, *x]) for none, x in zip((np.empty(0, _U), np.empty(0, np.uint32)), each))
+        c, lw, lp = (part.exact(words), part.levels(_local(words, bits)), part.levels(pairs)) if part else (np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8))
+        at, at_pair = (np.cumsum([0, *map(len, x)]) for x in each)
+        return pa.table({"__chunk": asked.column("__chunk"), "shard": asked.column("shard"), "c": _blobs(c, at[:-1], at[1:]), "lw": _blobs(lw, at[:-1], at[1:]), "lp": _blobs(lp, at_pair[:-1], at_pair[1:])})
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("shard")

@@ -261,6 +261,16 @@ def test_all_words_and_pairs_count_and_no_score_exceeds_zero(spark, monkeypatch)
     assert all(x["score"] <= 0 for x in lm.score(docs, model).collect())
 
 
+def test_arrays_are_packed_and_unpacked():
+    r = np.random.default_rng(3)
+    for dtype in (np.uint8, np.uint32, np.uint64, np.int64):
+        for n in (0, 1, lm.PRESSED - 1, lm.PRESSED, 5000):
+            x = np.sort(r.integers(0, np.iinfo(dtype).max, n, dtype=dtype))
+            for up in (False, True):
+                got = lm.unpress(lm.press(x, up), dtype)
+                assert got.dtype == dtype and (got == x).all()
+
+
 def test_long_texts_and_words_hash_alike_in_pieces(monkeypatch):
     r = random.Random(4)
     texts = [text(r, 300), "x" * 700 + "Éß" * 300, "", "a " + "Qé" * 500 + "\tb \n", " " * 900, "one"]
