@@ -12,20 +12,21 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS, BUCKET_BITS, SMOOTHING = (1, 2, 3), 16, 0.5
 BUCKETS = 1 << BUCKET_BITS
 UNKNOWN = "und"
+PAD = max(ORDERS) - 1
 #: Code points scored at once.
 SLICE = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
@@ -41,8 +42,8 @@ def gram_ids(points: np.ndarray, order: int) -> np.ndarray:
 
 
 def _slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(indices, code points, starts): texts in groups, each followed by zeros so that no n-gram spans two."""
-    pad = "\0" * (max(ORDERS) - 1)
+    """(indices, code points, starts): texts in groups, each followed by PAD zeros; n-grams that start in those are no text's."""
+    pad = "\0" * PAD
     group, size = [], 0
     for i, t in enumerate(texts):
         if group and size + len(t) > most:
@@ -60,6 +61,11 @@ def _points(texts: list[str], group: list[int], pad: str) -> tuple[list[int], np
     return group, np.frombuffer("".join([*parts, pad]).encode("utf-32-le"), np.uint32), starts
 
 
+def _pads(starts: np.ndarray) -> np.ndarray:
+    """Places of the zeros."""
+    return (starts[1:, None] - np.arange(1, PAD + 1)).ravel()
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix (BUCKETS + 1, languages); its last row holds the log priors."""
 
@@ -77,6 +83,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             for group, points, starts in _slices(texts):
                 names, of = np.unique(np.array([langs[i] for i in group], object), return_inverse=True)
                 owner = np.repeat(of, np.diff(starts))
+                owner[_pads(starts)] = -1
                 for k, name in enumerate(names):
                     n = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     n[BUCKETS] += int((of == k).sum())
@@ -112,7 +119,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                 for group, points, starts in _slices(texts, SLICE * 4 // max(4, len(names))):
                     for order in ORDERS:
                         ids = gram_ids(points, order)[: starts[-1]]
-                        sums[group] += np.add.reduceat(logs[ids], starts[:-1], axis=0)
+                        found = logs[ids]
+                        found[_pads(starts)] = 0
+                        sums[group] += np.add.reduceat(found, starts[:-1], axis=0)
                 sums += logs[BUCKETS]
                 best = sums.argmax(1)
                 score = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
