@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 WINDOW, CHUNK_BITS = 16, 9
 #: Bounds of a worker's stores: pieces in a generation, their code points each, and code points in all chunks.
-PIECES, PIECE_LENGTH, CHUNK_TEXT = 300_000, 64, 6_000_000
+PIECES, PIECE_LENGTH, CHUNK_TEXT = 100_000, 64, 2_000_000
 #: Bytes of results for each batch handed back.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def cuts(text: str, window: int = WINDOW, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -151,5 +153,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                 if size >= BATCH_BYTES or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(start, len(ids)) for k in range(n)], pa.array(ids, pa.binary()), pa.array(said, pa.string())], names=[*keep, "ids", "decoded"])
                     start, ids, said, size = i + 1, [], [], 0
+        tidy()
 
     return docs.select(*columns).mapInArrow(run, schema)
