@@ -8,7 +8,7 @@ text. All overlapping windows of every text are scored. A word of more than LONG
 overlapping pieces, each a word of its own, so text without blanks is read to its end.
 
 The network is fitted on the driver on at most FIT_ROWS toxic and CLEAN times as many clean
-labelled rows, of FIT_LENGTH code points at most, picked by a hash of the key. Each round backpropagates
+labelled rows, of FIT_LENGTH code points at most each and FIT_TEXT together, picked by a hash of the key. Each round backpropagates
 through a toxic text's highest window and a clean text's few highest, among those that promise most. A fifth of the rows is set aside
 to choose the score that becomes 0.5. The word vectors' first number starts as the word's log-odds.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ WORD_BUCKETS, CHAR_BITS, GRAMS = 1 << 15, 16, (3, 4, 5)
 CHAR_BUCKETS = 1 << CHAR_BITS
 #: Bounds of the fit.
 FIT_ROWS, CLEAN, FIT_LENGTH, SEED = 1500, 3, 100_000, 11
+#: Code points of all rows of the fit together; of rows beyond, in order of the hash, none takes part.
+FIT_TEXT = 20_000_000
 #: At least ROUNDS over the rows, and more, up to MOST_ROUNDS, until there were STEPS updates.
 ROUNDS, MOST_ROUNDS, STEPS = 10, 60, 500
 #: Windows of a text that take part in the fit, by each of two orders; all count when the threshold is set.
@@ -119,10 +121,16 @@ class Net:
         """(words, INPUT)."""
         if not len(word):
             return np.zeros((0, INPUT), np.float32)
-        n = np.diff([*starts, len(grams)])[:, None]
-        odds = self.odds[grams]
-        ends = [np.maximum.reduceat(odds, starts)[:, None], np.minimum.reduceat(odds, starts)[:, None]]
-        return np.hstack([self.p["word"][word], np.add.reduceat(self.p["char"][grams], starts, axis=0) / n, *ends]).astype(np.float32)
+        out = np.empty((len(word), INPUT), np.float32)
+        ends = np.append(starts, len(grams))
+        for at in range(0, len(word), BLOCK):  # the vectors of all n-grams at once would take many times the words'
+            to = min(at + BLOCK, len(word))
+            own, first = grams[ends[at] : ends[to]], starts[at:to] - ends[at]
+            odds = self.odds[own]
+            out[at:to, :WORD_DIM] = self.p["word"][word[at:to]]
+            out[at:to, WORD_DIM:-2] = np.add.reduceat(self.p["char"][own], first, axis=0) / np.diff(ends[at : to + 1])[:, None]
+            out[at:to, -2], out[at:to, -1] = np.maximum.reduceat(odds, first), np.minimum.reduceat(odds, first)
+        return out
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {way: np.vstack([np.zeros((1, 3 * HIDDEN), np.float32), x @ self.p[f"w{way}"] + self.p[f"a{way}"]]).astype(np.float32) for way in "fb"}
@@ -370,8 +378,11 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0)).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     order = [F.xxhash64(key), F.col(key)]
     chosen = marked.where("__y = 1").orderBy(*order).limit(each).unionByName(marked.where("__y = 0").orderBy(*order).limit(CLEAN * each))
-    got = docs.where(F.length(text).between(1, FIT_LENGTH)).select(key, text).join(F.broadcast(chosen), key).select(key, text, "__y").toPandas().sort_values([key, text])
-    got = got.drop_duplicates(key)
+    rows = docs.where(F.length(text).between(1, FIT_LENGTH)).select(key, text).join(F.broadcast(chosen), key).groupBy(key, "__y").agg(F.min(text).alias(text))
+    # at most (1 + CLEAN) * each rows are numbered; the order is that of their choice, the classes in turn
+    rank = F.row_number().over(Window.partitionBy("__y").orderBy(*order)) / F.when(F.col("__y") == 1, 1).otherwise(CLEAN)
+    upto = F.sum(F.length(text).cast("long")).over(Window.orderBy("__r", "__y", key))
+    got = rows.withColumn("__r", rank).withColumn("__n", upto).where(F.col("__n") <= FIT_TEXT).select(key, text, "__y").toPandas().sort_values([key, text])
     return got[text].tolist(), got["__y"].astype(int).tolist()
 
 
