@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 S, INNER = 5, 16
 K = S + INNER - 1
 SHORT = 2 * K
-#: Rows for each bucket of neighbouring keys, and bits of key range taken off at each level of `lower`.
-BUCKET, LEVEL_BITS = 256, 12
+#: Bits of the keys that share a bucket, and bits of key range taken off at each level of `lower`.
+BUCKET_BITS, LEVEL_BITS = 8, 12
 #: First rows of buckets go to all executors only up to so many (16 bytes each), else they are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -77,17 +77,16 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     lo, hi = rows.agg(F.min(key), F.max(key)).first()
-    lo, hi = (lo or 0) - 1, hi or 0  # nulls come last, as one below the least
-    low = F.coalesce(F.col(key), F.lit(lo))
-    bucket = lambda k: F.floor((k - F.lit(lo)) / BUCKET).cast("long")
-    heads = rows.select(low.alias("__low")).groupBy(bucket(F.col("__low")).alias("b")).agg(F.max("__low").alias("__low"))
-    down = lower(heads.select("b"), 0, (hi - lo) // BUCKET)
-    top = bucket(F.lit(hi))
-    guests = down.select(F.col("b").alias("__bucket"), F.coalesce("nb", top).alias("b")).join(heads, "b").select("__bucket", "__low")
-    few = (hi - lo) // BUCKET < BROADCAST_ROWS or heads.count() <= BROADCAST_ROWS
-    keyed = rows.withColumn("__low", low)
-    hosted = keyed.join(F.broadcast(guests) if few else guests, "__low").select(key, "__text", "__low", "__bucket", F.lit(1).alias("__guest"))
-    return keyed.select(key, "__text", "__low", bucket(F.col("__low")).alias("__bucket"), F.lit(0).alias("__guest")).unionByName(hosted).repartition("__bucket")
+    lo, hi = ((x or 0) >> BUCKET_BITS for x in (lo, hi))
+    lo -= 1  # nulls come last, in a bucket of their own
+    keyed = rows.withColumn("__low", F.col(key)).withColumn("__b", F.coalesce(F.shiftright(F.col(key).cast("long"), BUCKET_BITS), F.lit(lo)))
+    heads = keyed.groupBy(F.col("__b").alias("b")).agg(F.max("__low").alias("top"))
+    every = lower(heads.select("b"), lo, hi)
+    first = heads.agg(F.max("b")).first()[0]  # a bucket of nulls alone has no key above it
+    guests = every.select(F.col("b").alias("__bucket"), F.coalesce("nb", F.lit(first)).alias("b")).join(heads, "b")
+    few = hi - lo < BROADCAST_ROWS or heads.count() <= BROADCAST_ROWS
+    hosted = keyed.join(F.broadcast(guests) if few else guests, (F.col("__b") == F.col("b")) & F.col("__low").eqNullSafe(F.col("top"))).select(key, "__text", "__low", "__bucket", F.lit(1).alias("__guest"))
+    return keyed.select(key, "__text", "__low", F.col("__b").alias("__bucket"), F.lit(0).alias("__guest")).unionByName(hosted).repartition("__bucket")
 
 
 def _hashes(anchors: Column) -> Column:
