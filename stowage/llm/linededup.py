@@ -15,10 +15,11 @@ input columns named like a result column are replaced, others pass through.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Boilerplate: in more than this part of a host's pages, of which there are MIN_PAGES at least.
 RATIO, MIN_PAGES = 0.1, 10
 #: The boilerplate lists go to all executors only while they hold no more lines than this (16 bytes each).
@@ -60,9 +61,9 @@ def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, min_pages
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "host", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """pages with boilerplate lines gone from text, and n_lines, n_dropped (long)."""
-    own = [c for c in pages.columns if c not in {"n_lines", "n_dropped"}]
+    own = [c for c in pages.columns if c.lower() not in {"n_lines", "n_dropped"}]
     split = pages.select(*own, F.split(F.col(text), "\n").alias("__lines"))
-    found = boilerplate(split, host, "__lines", ratio, min_pages).persist(StorageLevel.DISK_ONLY)
+    found = cut(boilerplate(split, host, "__lines", ratio, min_pages))
     small = (found.agg(F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0]) <= broadcast_lines
     left = split.withColumns({"__null": F.col(host).isNull(), "__host": F.coalesce(F.col(host), F.lit(""))})
     if small:

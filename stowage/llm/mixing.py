@@ -87,7 +87,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if not 0 <= share <= cap <= 2:
         raise ValueError("share must not exceed cap, nor cap two passes")
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    own = [F.col(c) for c in docs.columns if c not in {"size", "source_size", "target", "taken", "position", "position_again"}]
+    own = [F.col(c) for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken", "position", "position_again"}]
     keyed = docs.select(*own, (F.col(size).cast("long") if size else n_words(F.col(text))).alias("size"), F.col(source).isNull().alias("__null"), F.coalesce(F.col(source), F.lit("")).alias("__source"), digest.alias("__h"))
     keyed = keyed.withColumns({"__b1": F.substring("__h", 1, 2), "__b2": F.substring("__h", 3, 2)})
     fine = keyed.groupBy(*_S, "__b1", "__b2").agg(F.sum("size").alias("__n"))

@@ -98,6 +98,31 @@ def test_language_id_learns_and_holds_out(spark, none):
     assert {(x["lang_pred"], x["score"]) for x in langid.predict(df, empty, ["doc_id"]).collect()} == {("und", 0.0)}
 
 
+def test_posteriors_match_brute_force(spark):
+    r = random.Random(12)
+    data = [("".join(r.choice("abcde "[k:]) for _ in range(r.randint(1, 40))), ["x", "y"][k]) for k in (0, 1) for _ in range(20)]
+    names, logs = langid.train(spark.createDataFrame(data, "text string, lang string"))
+    tried = [*(t for t, _ in data), "½ ² ①", "12 3", "", None, "ß"]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(tried)], "doc_id long, text string"), (names, logs), ["doc_id"]).collect()
+
+    def grams(t):
+        for order in langid.ORDERS:
+            padded = [*map(ord, t.lower()), *[0] * (max(langid.ORDERS) - 1)]
+            for i in range(len(t.lower())):
+                whole = [*padded[i : i + order], *[0] * order][:order]
+                yield int(langid.gram_ids(np.array(whole, np.uint32), order)[0])
+
+    counts = {k: Counter(g for t, lang in data if lang == k for g in grams(t)) for k in names}
+    for row in got:
+        t = tried[row["doc_id"]]
+        if not t or not re.search(r"[a-zß]", t):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        logp = [math.log(0.5) + sum(math.log((counts[k][g] + langid.SMOOTHING) / (sum(counts[k].values()) + langid.SMOOTHING * langid.BUCKETS)) for g in grams(t)) for k in names]
+        post = 1 / sum(math.exp(x - max(logp)) for x in logp)
+        assert row["lang_pred"] == names[logp.index(max(logp))] and abs(row["score"] - post) < 1e-6
+
+
 def test_naive_bayes_sums_match_brute_force():
     t = "abcabcé"
     points = np.frombuffer((t + "\0\0").encode("utf-32-le"), np.uint32)
@@ -132,6 +157,35 @@ def test_toxicity_held_out_accuracy_and_odd_rows(spark, odd, none):
     assert {r["score"] for r in toxicity.score(docs, plain, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_scores_match_a_plain_pass_over_all_windows():
+    data = toxic_rows(120, 5)
+    net = toxicity.fit(*zip(*[(t, y) for _, t, y in data]))
+    r = random.Random(6)
+    texts = [text(r, n) for n in (1, 5, 31, 32, 33, 49, 400)] + [t for _, t, _ in data[:10]] + [None, "", "?!"]
+    got = toxicity.Scorer(net).score(texts)
+    p, h, sig = net.p, toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    for t, g in zip(texts, got):
+        w = toxicity.words(t)
+        if not w:
+            assert g == net.empty
+            continue
+        x, best = net.inputs(*toxicity.features(w)), -np.inf
+        for at in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            own, ways = x[at : at + toxicity.WINDOW], []
+            for way in "fb":
+                state, states = np.zeros(h), []
+                for v in own if way == "f" else own[::-1]:
+                    a, u = v @ p[f"w{way}"] + p[f"a{way}"], state @ p[f"u{way}"]
+                    z, q = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+                    state = z * state + (1 - z) * np.tanh(a[2 * h :] + q * u[2 * h :])
+                    states.append(state)
+                ways.append(np.array(states if way == "f" else states[::-1]))
+            both = np.hstack(ways)
+            e = np.exp(both @ p["v"])
+            best = max(best, float((e / e.sum()) @ both @ p["o"] + p["c"][0]))
+        assert abs(sig(best) - g) < 1e-3
+
+
 def test_toxicity_gradients():
     net = toxicity.Net(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

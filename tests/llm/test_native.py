@@ -233,7 +233,14 @@ def test_spliced_fingerprints_equal_direct_ones(spark, odd):
     by_sha = {hashlib.sha256(r["text"].encode()).hexdigest(): r["f"] for r in direct}
     for r in got:
         assert r["edited_fingerprint"] == by_sha[r["edited_sha256"]]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    cells = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
+    dice = lambda a, b: 2 * len(cells(a) & cells(b)) / (len(cells(a)) + len(cells(b))) if a or b else 1.0
+    whole = spark.createDataFrame([(t,) for _, t, _ in edited], "text string")
+    own = {r["text"]: r["f"] for r in syncmers.with_anchors(whole, "text", "a").select("text", syncmers.written(syncmers._hashes(F.col("a"))).alias("f")).collect()}
+    want = Counter()
+    for (i, t, e), (_, nxt) in zip(edited, data[1:] + data[:1]):
+        want[(i, own[t], round(dice(own[t], by_sha[hashlib.sha256(e.encode()).hexdigest()]), 9), round(dice(own[t], own[nxt]), 9))] += 1
+    assert Counter((r["doc_id"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
 
 
 def test_fingerprints_of_little(spark, none):
@@ -246,3 +253,18 @@ def test_next_lower_keys_over_far_apart_ids(spark):
     keys = sorted({0, 5, 4095, 4096, 10**6, 10**6 + 1, 2**33, 2**40 + 7})
     got = dict(syncmers.lower(spark.createDataFrame([(k,) for k in keys], "b long"), keys[0], keys[-1]).collect())
     assert got == {k: (keys[i - 1] if i else None) for i, k in enumerate(keys)}
+
+
+def test_fingerprints_of_extreme_and_null_ids(spark):
+    data = [(-(2**63), "a" * 50), (2**63 - 1, "b" * 60), (0, "c" * 70), (None, "d" * 80), (None, None)]
+    got = {r["n_chars"]: r["edited_sha256"] for r in syncmers.fingerprints(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    order = ["b" * 60, "c" * 70, "a" * 50, "", "d" * 80]
+    for t, nxt in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        assert got[len(t)] == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
+
+
+def test_columns_named_like_results_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a b\nc", "s", 5, 6)], "doc_id long, text string, source string, SIZE int, N_LINES int")
+    assert mixing.mix(docs).select("size", "taken").first()["size"] == 3
+    assert linededup.drop_boilerplate(docs, host="source").select("n_lines").first()[0] == 2
