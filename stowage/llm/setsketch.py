@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, stored, tidy
 from .words import mix as _mix
 from .words import word_hashes
 
@@ -43,8 +43,8 @@ REGISTERS, ROWS, BASE, RATE = 256, 6, 1.02, 20.0
 BANDS = REGISTERS // ROWS
 #: Pairs estimated this far under the threshold are dropped: six standard errors of the estimate.
 MARGIN = 0.15
-#: Bytes of text described at once; members compared at once; members of a star confirmed by one task.
-SLICE, BLOCK, STAR = 1 << 19, 512, 512
+#: Bytes of text described at once; members of a bucket (as sketches) and of components (as full sets) compared at once; members of a star confirmed by one task.
+SLICE, MEET, BLOCK, STAR = 1 << 19, 8192, 512, 512
 #: Documents whose full sets are needed go to all executors by key only up to so many.
 BROADCAST_KEYS = 1_000_000
 
@@ -260,8 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs of components (a, b) that share a bucket and in it a likely pair of members."""
     marked = banded.join(settled, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    marked = cut(marked)
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    marked = stored(marked)
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / MEET).cast("int").alias("blocks"))
     members = marked.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each two blocks of a bucket meet once; nearly all buckets are one block
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
@@ -362,9 +362,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     base = cut(_described(docs, key, text, size))
     first = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
     reps = cut(base.where(F.col("id").isNotNull() & F.col("sig").isNotNull()).withColumn("__r", first).where("__r = 1").select("id", "n", "sig", "sketch"))
-    banded = cut(_banded(reps))
+    banded = stored(_banded(reps))
     heads = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    shared = cut(banded.join(heads, "key"))
+    shared = stored(banded.join(heads, "key"))
     star = cut(_likely(shared.where("id != a").select("a", F.col("id").alias("b")).distinct(), reps, least))
     edges = _confirmed(star, docs, key, text, size, percent)
     settled = cut(components(edges))

@@ -373,6 +373,7 @@ def test_near_duplicates_match_brute_force(spark, none):
 
 def test_small_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "BLOCK", 2)
+    monkeypatch.setattr(setsketch, "MEET", 2)
     monkeypatch.setattr(setsketch, "STAR", 2)
     df = spark.createDataFrame(near_rows()[:100], "doc_id long, text string")
     assert Counter(map(tuple, setsketch.near_duplicates(df).collect())) == brute_components(near_rows()[:100])
