@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import types as T
@@ -87,6 +87,7 @@ class Entry:
     name: str | None = None
     links: dict[str, bytes] = field(default_factory=dict)  # extra keys whose values are still undecoded
     read: Callable[[], bytes] | None = None
+    stream: Callable[[], Iterator[bytes]] | None = None  # the same in pieces, for entries larger than memory; fails at its end
     record: tuple[int, int, int, int] | None = None  # record start, end, payload start, end
     index: int = -1
 

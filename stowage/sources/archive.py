@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import ARCHIVES, CONTENTS, ENTRIES, ERROR, Options
@@ -118,6 +118,13 @@ def joined_volumes(files: DataFrame) -> DataFrame:
     return plain.unionByName(whole.select(F.concat("__stem", F.lit("")).alias("path"), F.expr("aggregate(v, cast('' as binary), (a, x) -> concat(a, x.content))").alias("content")))
 
 
+def _listed(paths: list[str]) -> str:
+    """The path under which an archive or a volume set is listed."""
+    if len(paths) > 1 and paths[-1].lower().endswith((".zip", ".zipx")):
+        return paths[-1]
+    return paths[0].removesuffix(".001")
+
+
 class _Part(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -128,21 +135,13 @@ class ArchiveReader(DataSourceReader):
 
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         self.schema, self.options = schema, {k.lower(): v for k, v in options.items()}
-        self.equal: dict[str, object] = {}
-        self.prefix: dict[str, str] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None
-            if isinstance(f, EqualTo) and column in ("archive_path", "index", "kind"):
-                self.equal[column] = f.value
-            elif isinstance(f, StringStartsWith) and column in ("archive_path", "name"):
-                self.prefix[column] = f.value
-            else:
-                yield f
-
-    def _passes(self, row: dict, columns: tuple[str, ...]) -> bool:
-        return all(row.get(c) == v for c, v in self.equal.items() if c in columns) and all((row.get(c) or "").startswith(v) for c, v in self.prefix.items() if c in columns)
+
+    def _wanted(self, row: dict) -> bool:
+        """Whether the options ask for an entry; rows of archives that do not open always pass."""
+        if row.get("index") is None:
+            return True
+        kind, prefix, index = (self.options.get(k) for k in ("kind", "nameprefix", "index"))
+        return (kind is None or row["kind"] == kind) and (prefix is None or row["name"].startswith(prefix)) and (index is None or row["index"] == int(index))
 
     def partitions(self):
         import glob
@@ -151,7 +150,7 @@ class ArchiveReader(DataSourceReader):
         path = self.options.get("path", "")
         path = path[len("file://") :] if path.startswith("file://") else path.removeprefix("file:")
         found = sorted(p for g in glob.glob(path) for p in ([g] if os.path.isfile(g) else (os.path.join(d, f) for d, _, fs in os.walk(g) for f in fs)))
-        sets = [s for s in group(found, Options().limits.max_volumes) if self._passes({"archive_path": s[0]}, ("archive_path",))]
+        sets = group(found, Options().limits.max_volumes)
         return [_Part(s) for s in sets] or [_Part([])]
 
     def read(self, partition):
@@ -161,9 +160,9 @@ class ArchiveReader(DataSourceReader):
         content = self.options.get("content", "false").lower() == "true"
         if not partition.paths:
             return
-        name = partition.paths[0]
+        name = _listed(partition.paths)
         if len(partition.paths) == 1:
-            with open(name, "rb") as f:
+            with open(partition.paths[0], "rb") as f:
                 try:
                     buf = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
                 except ValueError:
@@ -175,14 +174,16 @@ class ArchiveReader(DataSourceReader):
                     volumes.append(f.read())
             buf = memoryview(b"".join(volumes))
             if partition.paths[-1].lower().endswith((".zip", ".zipx")):
-                name, opts.volume_starts = partition.paths[-1], tuple(accumulate([0, *map(len, volumes[:-1])]))
-            name = name.removesuffix(".001") if name.endswith(".001") else name
-        made = (r for r in reader.rows(name, buf, opts, content) if self._passes(r, ("index", "kind", "name")))
+                opts.volume_starts = tuple(accumulate([0, *map(len, volumes[:-1])]))
+        made = (r for r in reader.rows(name, buf, opts, content, self._wanted) if self._wanted(r))
         yield from _batched(made, to_arrow_schema(self.schema))
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("archive").option("content", "true").load(path or glob). Paths are local or mounted on every executor; for other stores use read_files()."""
+    """spark.read.format("archive").option("content", "true").load(path or glob). Paths are local or mounted on every executor; for other stores use read_files().
+
+    The options kind, namePrefix and index narrow the entries; payloads of others are not decoded.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -196,6 +197,9 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Registers the source and allows filters on archive_path, index, kind and name prefixes to reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Registers the source.
+
+    It takes no pushed filters: Spark keeps a reader that took some for later scans of the same frame, which
+    then lack rows. What is opened and decoded is narrowed by the path and the options instead.
+    """
     spark.dataSource.register(ArchiveSource)

@@ -1,11 +1,13 @@
-"""RAR: listings of all generations; stored entries read, others are reported as unsupported."""
+"""RAR: listings of all generations; stored entries and RAR 5 compression and encryption read, others are reported as unsupported."""
 
 from __future__ import annotations
 
 import hashlib
+import hmac
 import zlib
 
 from ...model import MICRO, Archive, ArchiveError, Entry, Options, malformed
+from ..codecs.crypto import aes_cbc
 from ..fields import dos_time, filetime, le, take
 
 #: RAR 4 and 5 host systems and methods.
@@ -182,17 +184,27 @@ def _vint(b: bytes, at: int) -> tuple[int, int]:
 
 
 def _rar5(buf, opts: Options) -> list[tuple[Entry, bool]]:
-    at, out = 8, []
+    at, out, chain, key = 8, [], [], None
     while at + 7 <= len(buf):
         start = at
-        crc = le(take(buf, at, 4), 0, 4)
-        n, p = _vint(bytes(buf[at + 4 : at + 14]), 0)
-        head = take(buf, at + 4, p + n)
+        first = bytes(buf[at : at + 14])
+        if key is not None:
+            first = aes_cbc(key, take(buf, at, 16), take(buf, at + 16, 16))
+        crc = le(first, 0, 4)
+        n, p = _vint(first[:14], 4)
+        whole = p + n
+        if key is None:
+            head = take(buf, at + 4, whole - 4)
+            at += whole
+        else:
+            padded = -(-whole // 16) * 16
+            head = aes_cbc(key, take(buf, at, 16), take(buf, at + 16, padded))[4:whole]
+            at += 16 + padded
+        p -= 4
         if zlib.crc32(head) != crc:
             if opts.recover and out:
                 break
             raise malformed("RAR header checksum")
-        at += 4 + p + n
         kind, q = _vint(head, p)
         flags, q = _vint(head, q)
         extra_n = data_n = 0
@@ -201,9 +213,17 @@ def _rar5(buf, opts: Options) -> list[tuple[Entry, bool]]:
         if flags & 2:
             data_n, q = _vint(head, q)
         if kind == 4:
-            raise ArchiveError("unsupportedMethod" if opts.password else "passwordRequired", "encrypted RAR headers")
+            if opts.password is None:
+                raise ArchiveError("passwordRequired", "encrypted RAR headers")
+            version, q = _vint(head, q)
+            how, q = _vint(head, q)
+            if version:
+                raise ArchiveError("unsupportedMethod", "RAR encryption")
+            lock = {"power": head[q], "salt": head[q + 1 : q + 17], "check": head[q + 17 : q + 25] if how & 1 else None}
+            key = _key5(lock, opts)
+            continue
         if kind == 2:
-            out.append(_file5(buf, head, q, len(head) - extra_n, flags, at, data_n, opts))
+            out.append(_file5(buf, head, q, len(head) - extra_n, flags, at, data_n, opts, chain))
         if kind == 5:
             break
         at += data_n
@@ -218,7 +238,10 @@ def _rar5(buf, opts: Options) -> list[tuple[Entry, bool]]:
     return found
 
 
-def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int, opts: Options) -> tuple[Entry, bool] | None:
+def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int, opts: Options, chain: list) -> tuple[Entry, bool] | None:
+    """chain: the solid group in progress, if any."""
+    from ..codecs.rar5 import Solid
+
     own, q = _vint(h, q)
     size, q = _vint(h, q)
     attr, q = _vint(h, q)
@@ -233,7 +256,7 @@ def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int,
     raw = h[q : q + n]
     folder, method = bool(own & 1), info >> 7 & 7
     extra = {"rarVersion": "5", "compressionInfo": f"0x{info:x}", "method": str(method), "dictionarySize": str(131072 << (info >> 10 & 15)), "hostOS": {0: "Windows", 1: "Unix"}.get(host, str(host)), "attributes": f"0x{attr:x}", "solid": str(bool(info & 64)).lower()}
-    kind, locked, digest, link = "directory" if folder else "file", False, None, None
+    kind, locked, digest, link, lock = "directory" if folder else "file", False, None, None, None
     p = end
     while p < len(h):
         n, p = _vint(h, p)
@@ -241,6 +264,10 @@ def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int,
         tag, r = _vint(h, p)
         if tag == 1:
             locked = True
+            version, r = _vint(h, r)
+            how, r = _vint(h, r)
+            if version == 0:
+                lock = {"tied": bool(how & 2), "power": h[r], "salt": h[r + 1 : r + 17], "iv": h[r + 17 : r + 33], "check": h[r + 33 : r + 41] if how & 1 else None}
         elif tag == 2:
             which, r = _vint(h, r)
             if which == 0:
@@ -270,10 +297,76 @@ def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int,
     if unix & 0o170000 == 0o120000:
         kind = "symlink"
     e = Entry(raw, kind, None if own & 8 else 0 if folder else size, packed, mtime, unix & 0o7777 if unix else None, locked, crc=crc, method=_METHODS[method] if method < 6 else f"method {method}", declared="utf-8", dir_hint=folder, extra=extra)
-    e.read = (lambda: b"") if folder or link is not None and kind != "file" else _stored(buf, data, packed, size, method, crc, locked, bool(split), digest)
+    if folder or link is not None and kind != "file":
+        e.read = lambda: b""
+    elif split or info & 63 or method > 5 or own & 8 or locked and lock is None:
+        e.read = _stored(buf, data, packed, size, method or 1, crc, locked, bool(split), digest)
+    else:
+        if method and not (info & 64 and chain):
+            window = 131072 << (info >> 10 & 15)
+            if window > opts.limits.max_dictionary:
+                raise ArchiveError("limitExceeded", "RAR dictionary")
+            chain[:] = [Solid(window)]
+        e.read = _read5(buf, data, packed, size, method, crc, lock, digest, chain[0] if method else None, opts)
     return e, bool(info & 64)
 
 
+def _fold(b: bytes, n: int) -> bytes:
+    """32 bytes as n, by exclusive or."""
+    out = 0
+    for i in range(0, len(b), n):
+        out ^= int.from_bytes(b[i : i + n], "little")
+    return out.to_bytes(n, "little")
+
+
+#: Fixed value: characters of a password that count.
+_PASSWORD = 127
+
+
+def _key5(lock: dict, opts: Options, more: int = 0) -> bytes:
+    """A key derived from the password, which is checked where that is possible; more: rounds beyond those of the data's key."""
+    if opts.password is None:
+        raise ArchiveError("passwordRequired")
+    if lock["power"] > opts.limits.max_kdf_power:
+        raise ArchiveError("limitExceeded", "key derivation")
+    derived = lambda k: hashlib.pbkdf2_hmac("sha256", opts.password[:_PASSWORD].encode(), lock["salt"], (1 << lock["power"]) + k)
+    if lock["check"] is not None and _fold(derived(32), 8) != lock["check"]:
+        raise ArchiveError("wrongPassword")
+    return derived(more)
+
+
+def _read5(buf, at: int, packed: int, size: int, method: int, crc: int | None, lock: dict | None, digest: bytes | None, solid, opts: Options):
+    """Reads one RAR 5 file; solid: the files that are unpacked in turn."""
+    def data() -> bytes:
+        raw = bytes(take(buf, at, packed))
+        return raw if lock is None else aes_cbc(_key5(lock, opts), lock["iv"], raw[: packed // 16 * 16])
+
+    unpacked = solid.add(data, size) if method else lambda: data()[:size]
+
+    def read() -> bytes:
+        if lock is not None and opts.password is None:
+            raise ArchiveError("passwordRequired")
+        out = unpacked()
+        if len(out) != size:
+            raise malformed("stored size")
+        key = _key5(lock, opts, 16) if lock is not None and lock["tied"] else None
+        if crc is not None:
+            got = zlib.crc32(out)
+            if key is not None:
+                got = int.from_bytes(_fold(hmac.digest(key, got.to_bytes(4, "little"), "sha256"), 4), "little")
+            if got != crc:
+                raise ArchiveError("checksumMismatch", "CRC-32")
+        if digest is not None:
+            from ...functions.sql import blake2sp
+
+            got = blake2sp(out)
+            if (hmac.digest(key, got, "sha256") if key is not None else got) != digest:
+                raise ArchiveError("checksumMismatch", "BLAKE2sp")
+        return out
+
+    return read
+
+
 def _links5(entries: list[Entry]) -> None:
     """Reading a hard link or a copy reads the earlier entry that it names."""
     last: dict[str, Entry] = {}

@@ -161,10 +161,6 @@ def _decode(coder: tuple[bytes, int, int, bytes], ins: list[bytes], size: int, o
         return bunzip2(data)[:size]
     if name == "ZSTD":
         return unzstd(data)[:size]
-    if name == "PPMD":
-        from ..codecs.ppmd import seven_zip_ppmd
-
-        return seven_zip_ppmd(data, props, size)
     if name == "Delta":
         from ..codecs.branch import delta
 

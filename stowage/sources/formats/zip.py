@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import zlib
 
 from ...model import MICRO, Archive, ArchiveError, Entry, Options, malformed
@@ -140,13 +141,54 @@ def decode(method: int, data: bytes, size: int, flags: int, opts: Options) -> by
         from ..codecs.ziplegacy import explode, reduce, unshrink
 
         return unshrink(data, size) if method == 1 else explode(data, size, flags) if method == 6 else reduce(data, size, method - 1)
-    if method == 98:
-        from ..codecs.ppmd import zip_ppmd
-
-        return zip_ppmd(data, size)
     raise ArchiveError("unsupportedMethod", METHODS.get(method, f"method {method}"))
 
 
+#: Bytes decoded at once where an entry is read in pieces.
+PIECE = 1 << 20
+
+
+def _streamer(buf, base: int, e: Entry, how: dict):
+    """Stored, deflate and bzip2 entries in pieces of bounded size, verified at the end."""
+
+    def decoded(at: int):
+        d = zlib.decompressobj(-15) if how["method"] == 8 else bz2.BZ2Decompressor() if how["method"] == 12 else None
+        for k in range(at, at + e.packed, PIECE):
+            piece = bytes(take(buf, k, min(PIECE, at + e.packed - k)))
+            if d is None:
+                yield piece
+                continue
+            while not d.eof:
+                out = d.decompress(piece, PIECE)
+                piece = d.unconsumed_tail if how["method"] == 8 else b""
+                yield out
+                if not piece and (how["method"] == 8 and len(out) < PIECE or how["method"] == 12 and d.needs_input):
+                    break
+        if d is not None and not d.eof:
+            raise ArchiveError("truncated")
+
+    def stream():
+        start = base + how["offset"]
+        head = take(buf, start, 30)
+        if head[:4] != b"PK\3\4":
+            raise malformed("local header")
+        crc = size = 0
+        try:
+            for out in decoded(start + 30 + le(head, 26, 2) + le(head, 28, 2)):
+                crc, size = zlib.crc32(out, crc), size + len(out)
+                if size > e.size:
+                    raise malformed("more output than declared")
+                yield out
+        except (zlib.error, OSError) as err:
+            raise malformed(repr(err)) from None
+        if size < e.size:
+            raise ArchiveError("truncated")
+        if crc != e.crc:
+            raise ArchiveError("checksumMismatch", "CRC-32")
+
+    return stream
+
+
 def _reader(buf, base: int, e: Entry, how: dict, opts: Options):
     def read() -> bytes:
         start = base + how["offset"]
@@ -203,6 +245,8 @@ def _listed(buf, end: dict, opts: Options) -> Archive:
                 raise malformed("ZIP volume number")
             how["offset"] += opts.volume_starts[how["disk"]]
         e.read = _reader(buf, end["base"], e, how, opts)
+        if how["cipher"] == "none" and how["method"] in (0, 8, 12):
+            e.stream = _streamer(buf, end["base"], e, how)
         e.record = _record(buf, end["base"] + how["offset"], e.packed)
         entries.append(e)
         spans.append((how["offset"], e.packed))

@@ -85,6 +85,10 @@ def open_archive(buf, name: str | None = None, opts: Options | None = None) -> A
         raise malformed(f"{fmt}: {e!r}") from None
     except MemoryError:
         raise ArchiveError("limitExceeded", fmt) from None
+    except ArchiveError:
+        raise
+    except Exception as e:  # a row, whatever it is
+        raise malformed(f"{fmt}: {e!r}") from None
 
 
 def payload(e: Entry, opts: Options) -> bytes:
@@ -99,6 +103,10 @@ def payload(e: Entry, opts: Options) -> bytes:
         raise malformed(repr(err)) from None
     except MemoryError:
         raise ArchiveError("limitExceeded", "memory") from None
+    except ArchiveError:
+        raise
+    except Exception as err:  # a row, whatever it is
+        raise malformed(repr(err)) from None
     if len(out) > opts.limits.max_in_memory:
         raise ArchiveError("limitExceeded", "entry size")
     return out
@@ -126,8 +134,8 @@ def entry_row(path: str | None, fmt: str, e: Entry) -> dict:
     }
 
 
-def rows(path: str | None, buf, opts: Options, content: bool = False) -> Iterator[dict]:
-    """Listing rows, with payloads on request; what fails is a row with an error, never an exception."""
+def rows(path: str | None, buf, opts: Options, content: bool = False, wanted: Callable[[dict], bool] = lambda row: True) -> Iterator[dict]:
+    """Listing rows, with payloads on request, read only where wanted; what fails is a row with an error, never an exception."""
     try:
         archive = open_archive(buf, path, opts)
     except ArchiveError as e:
@@ -136,7 +144,7 @@ def rows(path: str | None, buf, opts: Options, content: bool = False) -> Iterato
     produced = 0
     for e in archive.entries:
         row = entry_row(path, archive.format, e)
-        if content:
+        if content and wanted(row):
             try:
                 data = payload(e, opts)
                 produced += len(data) if e.size is None else e.size
@@ -149,12 +157,47 @@ def rows(path: str | None, buf, opts: Options, content: bool = False) -> Iterato
 
 
 def digest_rows(path: str | None, buf, opts: Options) -> Iterator[dict]:
-    """Rows with byte counts and SHA-256 made at the worker, for payloads too large for a cell."""
-    for row in rows(path, buf, opts, True):
-        if row.get("content") is not None:
-            row["sha256"] = hashlib.sha256(row["content"]).hexdigest()
-        row.pop("content", None)
+    """Rows with byte counts and SHA-256 made at the worker, for payloads too large for a cell.
+
+    Entries that can be read in pieces are, at any size up to max_entry_size; others within max_in_memory.
+    """
+    try:
+        archive = open_archive(buf, path, opts)
+    except ArchiveError as e:
+        yield {"archive_path": path, "error": error_of(e)}
+        return
+    produced = 0
+    for e in archive.entries:
+        row = entry_row(path, archive.format, e)
+        try:
+            size, sha = 0, hashlib.sha256()
+            for piece in _pieces(e, opts):
+                size += len(piece)
+                sha.update(piece)
+            produced += size if e.size is None else e.size
+            if produced > opts.limits.max_total_size:
+                raise ArchiveError("limitExceeded", "total uncompressed size")
+            row |= {"bytes": size, "sha256": sha.hexdigest()}
+        except ArchiveError as err:
+            row["error"] = error_of(err)
         yield row
 
 
+def _pieces(e: Entry, opts: Options) -> Iterator[bytes]:
+    """An entry's bytes; what is wrong with them is raised as ArchiveError, at the end at the latest."""
+    if e.kind == "directory" or e.stream is None:
+        yield payload(e, opts)
+        return
+    if e.size is not None and e.size > opts.limits.max_entry_size:
+        raise ArchiveError("limitExceeded", "entry size")
+    try:
+        yield from e.stream()
+    except ArchiveError:
+        raise
+    except MemoryError:
+        raise ArchiveError("limitExceeded", "memory") from None
+    except Exception as err:
+        raise malformed(repr(err)) from None
+
+
 __all__ = ["MICRO", "digest_rows", "entry_row", "error_of", "open_archive", "payload", "rows"]

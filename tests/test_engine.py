@@ -1,14 +1,18 @@
 """The relations, the data source, extraction and the stream on Spark."""
 
+import hashlib
+import io
 import os
+import zipfile
 
 from pyspark.sql import functions as F
 
 from stowage.functions import sql as functions
 from stowage.operators import relations as R
+from stowage.model import Options
 from stowage.packing import PACKERS, pack_tar, pack_zip
 from stowage.plans import reports
-from stowage.sources import archive, extract
+from stowage.sources import archive, extract, reader
 from stowage.streaming import arriving
 
 ITEMS = [("a/one.txt", "file", b"hello " * 50), ("two", "file", b""), ("b/three.bin", "file", bytes(range(256)))]
@@ -90,3 +94,68 @@ def test_sql_functions(spark):
     functions.register(spark)
     got = spark.sql("SELECT crc16_arc(b) a, crc16_xmodem(b) x, crc64_xz(b) c, detect_format('n', b) f FROM (SELECT cast('123456789' AS binary) b)").first()
     assert (got["a"], got["x"], got["c"], got["f"]) == (0xBB3D, 0x31C3, "995dc9bbdf1939fa", "error:unsupportedFormat")
+
+
+def test_data_source_filters_and_reuse(spark, tmp_path):
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for entry in ("f1", "f2", "g1", "fx"):
+                z.writestr(entry, f"{name} {entry}")
+    archive.register(spark)
+    rows = spark.read.format("archive").option("content", "true").load(str(tmp_path))
+    assert rows.where(F.col("name").startswith("f1") & F.col("name").startswith("f")).count() == 2
+    assert rows.count() == 8
+    assert rows.where("index = 1").count() == 2
+    assert rows.count() == 8
+    assert rows.where((F.col("archive_path") == f"{tmp_path}/a.zip") & (F.col("kind") == "file")).count() == 4
+    assert rows.where("index is null").count() == 0 and rows.count() == 8
+    some = spark.read.format("archive").option("content", "true").option("namePrefix", "f").option("kind", "file").load(str(tmp_path / "*.zip"))
+    assert some.count() == 6 and some.where("content is null").count() == 0
+
+
+def test_data_source_reads_volume_sets_by_their_listed_path(spark, tmp_path):
+    whole = tmp_path / "whole.bin"
+    with zipfile.ZipFile(whole, "w") as z:
+        for i in range(4):
+            z.writestr(f"f{i}", os.urandom(500))
+    data = whole.read_bytes()
+    whole.unlink()
+    for i in range(0, len(data), 700):
+        (tmp_path / f"set.zip.{i // 700 + 1:03d}").write_bytes(data[i : i + 700])
+    archive.register(spark)
+    rows = spark.read.format("archive").load(str(tmp_path))
+    assert rows.count() == 4
+    path = rows.first()["archive_path"]
+    assert rows.where(F.col("archive_path") == path).count() == 4
+
+
+def test_digests_of_entries_above_the_memory_limit():
+    held = io.BytesIO()
+    big = bytes(range(256)) * 20_000
+    with zipfile.ZipFile(held, "w") as z:
+        for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA):
+            z.writestr(f"m{method}", big, method)
+        z.writestr("empty", b"", zipfile.ZIP_DEFLATED)
+    opts = Options()
+    opts.limits.max_in_memory = 1 << 20
+    got = {r["name"]: r for r in reader.digest_rows("x.zip", held.getvalue(), opts)}
+    want = hashlib.sha256(big).hexdigest()
+    assert [got[f"m{m}"].get("sha256") for m in (0, 8, 12)] == [want] * 3 and got["empty"]["bytes"] == 0
+    assert got["m14"]["error"]["code"] == "limitExceeded"
+    pieces = next(e for e in reader.open_archive(held.getvalue(), "x.zip", opts).entries if e.name == "m8").stream()
+    assert max(map(len, pieces)) <= 1 << 20
+    broken = bytearray(held.getvalue())
+    broken[1000] ^= 1
+    assert next(reader.digest_rows("x.zip", bytes(broken), opts))["error"]["code"] == "checksumMismatch"
+
+
+def test_what_fails_is_a_row(monkeypatch):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a", b"text")
+    data = held.getvalue()
+    at = data.index(b"PK\1\2") + 10
+    odd = data[:at] + b"\x62\0" + data[at + 2 :]
+    assert next(reader.rows("a.zip", odd, Options(), True))["error"]["code"] == "unsupportedMethod"
+    monkeypatch.setitem(reader.PARSERS, "zip", lambda *a: (_ for _ in ()).throw(ModuleNotFoundError("gone")))
+    assert next(reader.rows("a.zip", data, Options()))["error"]["code"] == "malformed"

@@ -253,3 +253,114 @@ def test_volume_sets():
     got = group(["d/x.001", "d/x.002", "d/x.004", "d/y.zip", "d/y.z01", "d/z.part1.rar", "d/z.part2.rar", "d/old.rar", "d/old.r00", "d/one.001", "d/a.txt"])
     assert ["d/x.001", "d/x.002"] in got and ["d/x.004"] in got and ["d/y.z01", "d/y.zip"] in got
     assert ["d/z.part1.rar", "d/z.part2.rar"] in got and ["d/old.rar", "d/old.r00"] in got and ["d/one.001"] in got
+
+
+class Bits:
+    """Bits, most significant first."""
+
+    def __init__(self):
+        self.s = ""
+
+    def put(self, v, n):
+        self.s += f"{v:0{n}b}" if n else ""
+
+    def bytes(self):
+        return int(self.s.ljust(-(-len(self.s) // 8) * 8, "0"), 2).to_bytes(-(-len(self.s) // 8), "big")
+
+
+def rar5_block(steps, last=True, tables=True):
+    """A block whose codes are flat: 9 bits a main symbol, 6 a distance or repeated length, 4 a low distance."""
+    b = Bits()
+    if tables:
+        for i in range(20):
+            b.put(2 if i in (4, 6, 9) else 0, 4)
+        for length, n in ((9, 306), (6, 64), (4, 16), (6, 44)):
+            for _ in range(n):
+                b.put({4: 0, 6: 1, 9: 2}[length], 2)
+    for step in steps:
+        if isinstance(step, bytes):
+            for c in step:
+                b.put(c, 9)
+        elif step[0] == "match":  # slot of the length, distance slot, its bits as (value, width) pairs
+            b.put(262 + step[1], 9)
+            b.put(step[2], 6)
+            for v, n in step[3]:
+                b.put(v, n)
+        elif step[0] == "again":
+            b.put(257, 9)
+        elif step[0] == "old":
+            b.put(258 + step[1], 9)
+            b.put(step[2], 6)
+        else:  # filter: start, length, type, channels
+            b.put(256, 9)
+            for v in step[1:3]:
+                b.put(1, 2)
+                b.put(v & 255, 8)
+                b.put(v >> 8, 8)
+            b.put(step[3], 3)
+            if step[3] == 0:
+                b.put(step[4] - 1, 5)
+    body = b.bytes()
+    used = len(b.s) - 8 * (len(body) - 1)
+    flags = used - 1 | 1 << 3 | (0x40 if last else 0) | (0x80 if tables else 0)
+    size = len(body).to_bytes(2, "little")
+    return bytes([flags, 0x5A ^ flags ^ size[0] ^ size[1]]) + size + body
+
+
+def rar5(files):
+    vint = lambda v: b"" .join(bytes([v >> 7 * i & 127 | (128 if v >> 7 * (i + 1) else 0)]) for i in range(max(1, -(-v.bit_length() // 7))))
+
+    def block(head):
+        whole = vint(len(head)) + head
+        return zlib.crc32(whole).to_bytes(4, "little") + whole
+
+    out = b"Rar!\x1a\x07\1\0" + block(vint(1) + vint(0) + vint(0))
+    for name, data, packed, method, solid in files:
+        info = method << 7 | (64 if solid else 0)
+        head = vint(2) + vint(2) + vint(len(packed)) + vint(4) + vint(len(data)) + vint(0o100644) + zlib.crc32(data).to_bytes(4, "little") + vint(info) + vint(1) + vint(len(name)) + name
+        out += block(head) + packed
+    return out + block(vint(5) + vint(0) + vint(0))
+
+
+def test_rar5_matches_filters_and_solid_groups():
+    one = b"abcdefgh" + b"defgh" * 3 + b"zz" + b"h" * 4
+    steps = [b"abcdefgh", ("match", 3, 4, [(0, 1)]), ("again",), ("old", 0, 3), b"zz", b"h", ("match", 1, 0, [])]
+    packed = rar5_block(steps[:3], last=False) + rar5_block(steps[3:], tables=False)
+    two = b"efgh" + bytes(range(0, 240, 3))  # its start lies in the window of the file before
+    plain = two[4:]
+    turned = bytes((a - b) & 255 for a, b in zip(b"\0" + plain[:-1], plain))
+    back = len(one) - one.index(b"efgh")
+    slot = next(s for s in range(4, 20) if 1 + ((2 | s & 1) << (s >> 1) - 1) <= back < 1 + ((2 | s & 1) << (s >> 1) - 1) + (1 << (s >> 1) - 1))
+    more = (slot >> 1) - 1
+    rest = back - 1 - ((2 | slot & 1) << more)
+    place = [(rest, more)] if more < 4 else ([(rest >> 4, more - 4)] if more > 4 else []) + [(rest & 15, 4)]
+    packed2 = rar5_block([("match", 2, slot, place), ("filter", 0, len(plain), 0, 1), turned], tables=False)
+    made = rar5([(b"one", one, packed, 3, False), (b"two", two, packed2, 3, True), (b"raw", b"stored", b"stored", 0, False)])
+    got = {r["name"]: r for r in read("x.rar", made)}
+    assert [(got[n]["content"], got[n]["error"]) for n in ("one", "two", "raw")] == [(one, None), (two, None), (b"stored", None)]
+    entries = {e.name: e for e in open_archive(made, "x.rar", Options()).entries}
+    assert entries["two"].read() == two and entries["one"].read() == one and entries["two"].read() == two
+    broken = bytearray(made)
+    broken[made.index(packed2) + 10] ^= 8
+    assert [r["error"] and r["error"]["code"] for r in read("x.rar", bytes(broken))][1] is not None
+    cut = rar5([(b"one", one, packed[:-20], 3, False)])
+    assert read("x.rar", cut)[0]["error"]["code"] in ("truncated", "malformed")
+
+
+def test_rar5_encrypted_data_and_headers_need_the_password():
+    import hmac
+
+    salt, iv, power, word = bytes(range(16)), bytes(range(16, 32)), 5, "pass ﾜｰﾄﾞ"
+    derived = [hashlib.pbkdf2_hmac("sha256", word.encode(), salt, (1 << power) + k) for k in (0, 16, 32)]
+    fold = lambda b, n: bytes(__import__("functools").reduce(lambda x, y: bytes(i ^ j for i, j in zip(x, y)), [b[i : i + n] for i in range(0, 32, n)]))
+    lock = {"tied": True, "power": power, "salt": salt, "iv": iv, "check": fold(derived[2], 8)}
+    from stowage.sources.formats import rar
+
+    assert rar._key5(lock, Options(password=word)) == derived[0] and rar._key5(lock, Options(password=word), 16) == derived[1]
+    for password, code in ((None, "passwordRequired"), ("other", "wrongPassword")):
+        with pytest.raises(ArchiveError) as e:
+            rar._key5(lock, Options(password=password))
+        assert e.value.code == code
+    data = b"sixteen bytes !!"
+    tied = int.from_bytes(fold(hmac.digest(derived[1], zlib.crc32(crypto.aes_cbc(derived[0], iv, data)).to_bytes(4, "little"), "sha256"), 4), "little")
+    assert rar._read5(data, 0, 16, 16, 0, tied, lock, None, None, Options(password=word))() == crypto.aes_cbc(derived[0], iv, data)
