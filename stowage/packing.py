@@ -6,8 +6,10 @@ import bz2
 import gzip
 import io
 import lzma
+import struct
 import tarfile
 import zipfile
+import zlib
 
 import pandas as pd
 import pyarrow as pa
@@ -67,6 +69,106 @@ def pack_ar(items: Items) -> bytes:
     return bytes(out)
 
 
+def _seven_number(v: int) -> bytes:
+    """A 7z number: leading ones of the first byte count the bytes that follow."""
+    for n in range(8):
+        if v < 1 << 7 * (n + 1):
+            return bytes([(0xFF00 >> n) & 255 | v >> 8 * n]) + (v & (1 << 8 * n) - 1).to_bytes(n, "little")
+    return b"\xff" + v.to_bytes(8, "little")
+
+
+def _seven_bits(flags: list[bool]) -> bytes:
+    return bytes(sum(1 << 7 - j for j, f in enumerate(flags[i : i + 8]) if f) for i in range(0, len(flags), 8))
+
+
+#: Coder ids of 7z, with their properties, and the encoders.
+SEVEN = {
+    "copy": (b"\0", b"", lambda b: b),
+    "lzma": (b"\3\1\1", b"\x5d" + (1 << 20).to_bytes(4, "little"), lambda b: lzma.compress(b, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}])),
+    "lzma2": (b"\x21", b"\x10", lambda b: lzma.compress(b, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}])),
+    "deflate": (b"\4\1\x08", b"", lambda b: zlib.compress(b, wbits=-15)),
+    "bzip2": (b"\4\2\2", b"", bz2.compress),
+}
+
+
+def pack_7z(items: Items, coder: str = "lzma2") -> bytes:
+    """One solid folder; files without bytes have no stream."""
+    num, own, props, encode = _seven_number, *SEVEN[coder]
+    full = [d for _, _, d in items if d]
+    whole = b"".join(full)
+    packed = encode(whole) if full else b""
+    head = b"\1"
+    if full:
+        head += b"\4\6" + num(0) + num(1) + b"\x09" + num(len(packed)) + b"\0"
+        head += b"\7\x0b" + num(1) + b"\0" + num(1) + bytes([len(own) | (0x20 if props else 0)]) + own + (num(len(props)) + props if props else b"") + b"\x0c" + num(len(whole)) + b"\0"
+        head += b"\x08\x0d" + num(len(full)) + (b"\x09" + b"".join(num(len(d)) for d in full[:-1]) if len(full) > 1 else b"") + b"\x0a\1" + b"".join(zlib.crc32(d).to_bytes(4, "little") for d in full) + b"\0\0"
+    names = b"\0" + b"".join(n.encode("utf-16-le") + b"\0\0" for n, _, _ in items)
+    head += b"\5" + num(len(items))
+    if len(full) < len(items):
+        bare = _seven_bits([not d for _, _, d in items])
+        files = _seven_bits([k != "directory" for _, k, d in items if not d])
+        head += b"\x0e" + num(len(bare)) + bare + b"\x0f" + num(len(files)) + files
+    head += b"\x11" + num(len(names)) + names + b"\0\0"
+    start = len(packed).to_bytes(8, "little") + len(head).to_bytes(8, "little") + zlib.crc32(head).to_bytes(4, "little")
+    return b"7z\xbc\xaf\x27\x1c\0\4" + zlib.crc32(start).to_bytes(4, "little") + start + packed + head
+
+
+def pack_rpm(items: Items) -> bytes:
+    """A lead, two empty headers and a compressed cpio."""
+    lead = b"\xed\xab\xee\xdb\3\0\0\0\0\1" + b"packed".ljust(66, b"\0") + b"\0\1\0\5" + bytes(16)
+    header = b"\x8e\xad\xe8\1" + bytes(12)
+    return lead + header + header + gzip.compress(pack_cpio(items), mtime=0)
+
+
+def pack_lha(items: Items) -> bytes:
+    """Stored entries with level 2 headers."""
+    from .functions.sql import crc16
+
+    out = bytearray()
+    for name, _, data in items:
+        folder, _, base = name.rpartition("/")
+        parts = [(1, base.encode())] + ([(2, folder.replace("/", "\xff").encode("latin-1") + b"\xff")] if folder else [])
+        extra = b"".join(bytes([tag]) + raw + b"SS" for tag, raw in parts)
+        sizes = [len(raw) + 3 for _, raw in parts] + [0]
+        extra = b"".join(bytes([tag]) + raw + n.to_bytes(2, "little") for (tag, raw), n in zip(parts, sizes[1:]))
+        size = 26 + len(extra)
+        pad = b"\0" if size % 256 == 0 else b""
+        body = b"-lh0-" + struct.pack("<IIIBBHBH", len(data), len(data), 1577934246, 0x20, 2, crc16(data), ord("U"), sizes[0]) + extra + pad
+        out += (size + len(pad)).to_bytes(2, "little") + body + data
+    return bytes(out) + b"\0"
+
+
+def pack_arj(items: Items) -> bytes:
+    """Stored entries."""
+
+    def block(head: bytes) -> bytes:
+        return b"\x60\xea" + len(head).to_bytes(2, "little") + head + zlib.crc32(head).to_bytes(4, "little") + b"\0\0"
+
+    out = block(struct.pack("<BBBBBBBBIIIIHHH", 30, 11, 1, 2, 0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0) + b"packed.arj\0\0")
+    for name, _, data in items:
+        out += block(struct.pack("<BBBBBBBBIIIIHHH", 30, 11, 1, 2, 0x10, 0, 0, 0, 0x50210000, len(data), len(data), zlib.crc32(data), 0, 0o100644, 0) + name.encode() + b"\0\0") + data
+    return out + b"\x60\xea\0\0"
+
+
+def pack_rar(items: Items) -> bytes:
+    """RAR 5 with stored entries."""
+
+    def vint(v: int) -> bytes:
+        n = max(1, -(-v.bit_length() // 7))
+        return bytes((v >> 7 * i & 127) | (128 if i < n - 1 else 0) for i in range(n))
+
+    def block(*fields: int | bytes) -> bytes:
+        head = b"".join(vint(f) if isinstance(f, int) else f for f in fields)
+        whole = vint(len(head)) + head
+        return zlib.crc32(whole).to_bytes(4, "little") + whole
+
+    out = b"Rar!\x1a\7\1\0" + block(1, 0, 0)
+    for name, _, data in items:
+        raw = name.encode()
+        out += block(2, 2, len(data), 4, len(data), 0o100644, zlib.crc32(data).to_bytes(4, "little"), 0, 1, len(raw), raw) + data
+    return out + block(5, 0, 0)
+
+
 PACKERS = {
     "zip": pack_zip,
     "tar": pack_tar,
@@ -77,12 +179,16 @@ PACKERS = {
     "cpio": pack_cpio,
     "cpio.gz": lambda items: gzip.compress(pack_cpio(items), mtime=0),
     "ar": pack_ar,
+    "7z": pack_7z,
+    "lzma.7z": lambda items: pack_7z(items, "lzma"),
+    "rpm": pack_rpm,
+    "lzh": pack_lha,
+    "arj": pack_arj,
+    "rar": pack_rar,
 }
 
 
 def lzip(data: bytes) -> bytes:
-    import zlib
-
     body = lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}])
     head = b"LZIP\1\x14" + body
     return head + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(8, "little") + (len(head) + 20).to_bytes(8, "little")

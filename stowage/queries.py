@@ -53,7 +53,7 @@ def _sha(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-for _kind in ("zip", "tar", "tar.gz", "tar.xz", "tar.bz2", "tar.zst", "cpio", "cpio.gz", "ar"):
+for _kind in ("zip", "tar", "tar.gz", "tar.xz", "tar.bz2", "tar.zst", "cpio", "cpio.gz", "ar", "7z", "lzma.7z", "rpm", "lzh", "arj", "rar"):
     _add(f"sha_{_kind.replace('.', '_')}", _sha(_kind), f"SELECT archive_path, index, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256, name FROM {_DOCS.replace('KIND', _kind)}")
 
 

@@ -1,5 +1,6 @@
 """Readers on archives made by standard writers, on damaged ones, and names."""
 
+import binascii
 import bz2
 import gzip
 import hashlib
@@ -15,7 +16,7 @@ import pytest
 
 from stowage.functions import sql as functions
 from stowage.model import ArchiveError, Options
-from stowage.packing import PACKERS, compress, pack_cpio, pack_tar, pack_zip
+from stowage.packing import PACKERS, SEVEN, compress, pack_7z, pack_cpio, pack_tar, pack_zip
 from stowage.sources import names
 from stowage.sources.codecs import branch, crypto, small
 from stowage.sources.detect import detect
@@ -364,3 +365,116 @@ def test_rar5_encrypted_data_and_headers_need_the_password():
     data = b"sixteen bytes !!"
     tied = int.from_bytes(fold(hmac.digest(derived[1], zlib.crc32(crypto.aes_cbc(derived[0], iv, data)).to_bytes(4, "little"), "sha256"), 4), "little")
     assert rar._read5(data, 0, 16, 16, 0, tied, lock, None, None, Options(password=word))() == crypto.aes_cbc(derived[0], iv, data)
+
+
+@pytest.mark.parametrize("coder", sorted(SEVEN))
+def test_seven_zip_coders(coder):
+    got = read("x.7z", pack_7z([*ITEMS, ("d", "directory", b"")], coder))
+    assert [(r["name"], r["kind"], r["content"], r["error"]) for r in got] == [*[(n, "file", d, None) for n, _, d in ITEMS], ("d", "directory", b"", None)]
+    assert [r["bytes"] for r in read("x.7z", pack_7z([("e", "file", b"")], coder))] == [0]
+    broken = bytearray(pack_7z(ITEMS, coder))
+    broken[40] ^= 16
+    assert any(r["error"] for r in read("x.7z", bytes(broken)))
+    assert read("x.7z", pack_7z(ITEMS, coder)[:-3])[0]["error"]
+
+
+def test_mac_wrappers():
+    data, fork = b"data fork " * 30, b"resource"
+    head = bytearray(128)
+    head[1], head[2:6], head[65:69], head[69:73] = 4, b"name", b"TEXT", b"ttxt"
+    head[83:87], head[87:91] = len(data).to_bytes(4, "big"), len(fork).to_bytes(4, "big")
+    head[122] = head[123] = 129
+    head[124:126] = binascii.crc_hqx(bytes(head[:124]), 0).to_bytes(2, "big")
+    pad = lambda b: b + bytes(-len(b) % 128)
+    got = read("x.bin", bytes(head) + pad(data) + pad(fork))
+    assert data in [r["content"] for r in got] and fork in [r["content"] for r in got] and not any(r["error"] for r in got)
+    parts = [(3, b"name"), (1, data), (2, fork)]
+    at, table, body = 26 + 12 * len(parts), b"", b""
+    for tag, raw in parts:
+        table += struct.pack(">III", tag, at + len(body), len(raw))
+        body += raw
+    got = read("x.as", struct.pack(">II16xH", 0x00051600, 0x00020000, len(parts)) + table + body)
+    assert data in [r["content"] for r in got] and not any(r["error"] for r in got)
+    crc = lambda b: binascii.crc_hqx(b, 0).to_bytes(2, "big")
+    inner = b"\4name\0TEXTttxt\0\0" + struct.pack(">II", len(data), len(fork))
+    plain = inner + crc(inner) + data + crc(data) + fork + crc(fork)
+    packed = plain.replace(b"\x90", b"\x90\0")
+    packed += bytes(-len(packed) % 3)
+    alphabet = "!\"#$%&'()*+,-012345689@ABCDEFGHIJKLMNPQRSTUVXYZ[`abcdefhijklmpqr"
+    chars = "".join(alphabet[int.from_bytes(packed[i : i + 3], "big") >> k & 63] for i in range(0, len(packed), 3) for k in (18, 12, 6, 0))
+    text = "(This file must be converted with BinHex 4.0)\n\n:" + "\n".join(chars[i : i + 64] for i in range(0, len(chars), 64)) + ":\n"
+    got = read("x.hqx", text.encode())
+    assert data in [r["content"] for r in got] and fork in [r["content"] for r in got] and not any(r["error"] for r in got)
+
+
+def test_xar():
+    data = b"in a xar " * 40
+    packed = zlib.compress(data)
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    toc = f'<?xml version="1.0"?><xar><toc><checksum style="sha1"><offset>0</offset><size>20</size></checksum><file id="1"><name>d</name><type>directory</type><file id="2"><name>f</name><type>file</type><data><offset>20</offset><size>{len(data)}</size><length>{len(packed)}</length><encoding style="application/x-gzip"/><extracted-checksum style="sha1">{sha(data)}</extracted-checksum><archived-checksum style="sha1">{sha(packed)}</archived-checksum></data></file></file></toc></xar>'.encode()
+    small = zlib.compress(toc)
+    made = struct.pack(">4sHHQQI", b"xar!", 28, 1, len(small), len(toc), 1) + small + hashlib.sha1(small).digest() + packed
+    got = read("x.xar", made)
+    assert [(r["name"].strip("/"), r["kind"], r["error"]) for r in got] == [("d", "directory", None), ("d/f", "file", None)] and got[1]["content"] == data
+    assert read("x.xar", made[:-5])[1]["error"]
+
+
+def iso(files):
+    both = lambda v, n: v.to_bytes(n, "little") + v.to_bytes(n, "big")
+
+    def record(name, at, size, flags):
+        body = b"\0" + both(at, 4) + both(size, 4) + bytes([120, 1, 2, 3, 4, 5, 0, flags, 0, 0]) + both(1, 2) + bytes([len(name)]) + name + (b"" if len(name) % 2 else b"\0")
+        return bytes([len(body) + 1]) + body
+
+    sector = lambda b: b + bytes(-len(b) % 2048)
+    at, rows, body = 19, b"", b""
+    for name, data in files:
+        rows += record(name, at, len(data), 0)
+        body += sector(data)
+        at += -(-len(data) // 2048)
+    root = record(b"\0", 18, 2048, 2) + record(b"\1", 18, 2048, 2) + rows
+    pvd = b"\1CD001\1\0" + b" " * 32 + b"VOLUME".ljust(32) + bytes(8) + both(at, 4) + bytes(32) + both(1, 2) + both(1, 2) + both(2048, 2) + both(10, 4) + bytes(16) + record(b"\0", 18, 2048, 2)
+    return bytes(16 * 2048) + sector(pvd) + sector(b"\xffCD001\1") + sector(root) + body
+
+
+def test_iso():
+    files = [(b"A.TXT;1", b"first" * 900), (b"B.BIN;1", b"second")]
+    got = [r for r in read("x.iso", iso(files)) if r["kind"] == "file"]
+    assert [(r["name"].upper().split(";")[0], r["content"], r["error"]) for r in got] == [(n.decode().split(";")[0], d, None) for n, d in files]
+    assert any(r["error"] for r in read("x.iso", iso(files)[:-2100]))
+
+
+def test_zip_crypto():
+    """Encrypted here by the cipher's public description."""
+    table = [0] * 256
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table[i] = c
+    keys = [0x12345678, 0x23456789, 0x34567890]
+
+    def update(b):
+        keys[0] = keys[0] >> 8 ^ table[(keys[0] ^ b) & 255]
+        keys[1] = ((keys[1] + (keys[0] & 255)) * 134775813 + 1) & 0xFFFFFFFF
+        keys[2] = keys[2] >> 8 ^ table[(keys[2] ^ keys[1] >> 24) & 255]
+
+    def lock(data):
+        out = bytearray()
+        for b in data:
+            k = keys[2] | 2
+            out.append(b ^ (k * (k ^ 1) >> 8 & 255))
+            update(b)
+        return bytes(out)
+
+    for c in b"secret":
+        update(c)
+    data = b"under lock " * 9
+    crc = zlib.crc32(data)
+    packed = lock(bytes(11) + bytes([crc >> 24]) + data)
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 20, 1, 0, 0, 0x5021, crc, len(packed), len(data), 1, 0) + b"a"
+    central = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 20, 20, 1, 0, 0, 0x5021, crc, len(packed), len(data), 1, 0, 0, 0, 0, 0, 0) + b"a"
+    made = local + packed + central + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 1, 1, len(central), len(local) + len(packed), 0)
+    assert read("x.zip", made, password="secret")[0]["content"] == data
+    assert read("x.zip", made)[0]["error"]["code"] == "passwordRequired"
+    assert read("x.zip", made, password="Secret")[0]["error"]["code"] == "wrongPassword"
