@@ -36,21 +36,34 @@ WEAK = f"{ENDPOINT}|{IDENTIFIER}|{SECRET}"
 NAMED_ID = f"(?i:{IDENTIFIER.rpartition('|')[0]})|AKIA[A-Z0-9]+"
 INNER = rf"{NAMED_ID}|(?i:{SECRET.rpartition('|')[0]})|(?<=[=&?#])[A-Za-z0-9+/]{{32,}}={{0,2}}|[A-Za-z0-9+]{{32,}}={{0,2}}"
 REACH = 200
+#: Hits whose places are added up at once.
+BLOCK = 256
 
 _KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
 
 
 def _located(gaps: Column, hits: Column) -> Column:
-    """Spans of the hits between the gaps, as array<struct<s, e>>."""
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
+    """Spans of the hits between the gaps, as array<struct<s, e>>.
+
+    Hits are taken in blocks, since an array that grows by one is copied each time.
+    """
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda i: F.slice(lengths, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def grown(kind: str, at: Column) -> Column:
+        return F.struct(at.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        start = acc["at"] + x["g"]
+        end = start + x["h"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, first, step, lambda a: a["out"])).otherwise(first["out"])
+    def whole(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + F.aggregate(block, F.lit(0), lambda n, x: n + x["g"] + x["h"])).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    starts = F.aggregate(blocks, grown("int", F.lit(0)), whole, lambda a: a["out"])
+    spans = F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, grown("struct<s:int,e:int>", at), step, lambda a: a["out"])))
+    return F.when(F.size(hits) > 0, spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)"))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:

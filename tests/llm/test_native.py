@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -163,6 +164,14 @@ def test_weak_secrets_link_to_all_partners_in_reach_and_inside_urls(spark):
     assert [k for _, k, _ in got[0]] == [3, 3, 3, 4] and sorted(k for _, k, _ in got[1]) == [3, 4, 5] and got[2] and not got[3] and got[4] and len(got[5]) == 5
 
 
+def test_many_hits_in_one_text_are_located_in_linear_time(spark):
+    text = " ".join(f"é{i:016x}" for i in range(20_000))
+    began = time.time()
+    row = secrets.find_secrets(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).where("doc_id = 1").first()
+    assert [(s["s"], s["e"]) for s in row["base"]] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert time.time() - began < 60  # minutes where arrays grow by one
+
+
 def test_no_secrets_in_nothing(none):
     assert secrets.find_secrets(none).count() == 0
 
