@@ -62,16 +62,6 @@ def summary(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("index").isNotNull()).groupBy("format", "method_description").agg(F.count("*").alias("entries"), F.sum("uncompressed_size").alias("bytes"), F.sum("compressed_size").alias("packed"), F.percentile("uncompressed_size", F.lit(0.5)).alias("median_bytes"))
 
 
-def split_mix64(seed: int):
-    """The generator of reproducible samples."""
-    mask = (1 << 64) - 1
-    while True:
-        seed = (seed + 0x9E3779B97F4A7C15) & mask
-        z = (seed ^ seed >> 30) * 0xBF58476D1CE4E5B9 & mask
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
-        yield z ^ z >> 31
-
-
 def sampled(entries: DataFrame, count: int = 20, seed: int = 42) -> DataFrame:
     """At most `count` entries that are no directories of each archive, the same ones each time: those of the least hash."""
     from pyspark.sql import Window

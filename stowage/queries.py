@@ -241,7 +241,7 @@ _add("chunked_payloads", _chunked, f"SELECT archive_path, index, CAST(ceil(octet
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives with a payload byte flipped or the end cut off: errors are rows, the other entries still read."""
-    files = _packed(spark, sf_dir, "tar").where(F.crc32("path") >= 0)
+    files = _packed(spark, sf_dir, "tar")
     short = files.select(F.concat(F.lit("short-"), "path").alias("path"), F.expr("substring(content, 1, length(content) - 1536)").alias("content"))
     cut_off = files.select(F.concat(F.lit("cut-"), "path").alias("path"), F.expr("substring(content, 1, 700)").alias("content"))
     rows = archive.digests(short.unionByName(cut_off), Options(recover=True))
@@ -252,16 +252,16 @@ _add("recover_damaged_tar", _damaged, None)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of documents' first words as CP932 bytes: decoded with one charset for each source."""
+    """Every word of the documents as a name in CP932 bytes: decoded with one charset for each source."""
     docs = _table(spark, sf_dir, "documents")
-    text = F.translate(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12), "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは")
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("group"), text.alias("want"))
+    words = docs.select(F.coalesce("source", F.lit("")).alias("group"), F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    rows = words.select("group", F.translate("word", "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは").alias("want"))
     encode = F.pandas_udf(lambda s: s.map(lambda t: t.encode("cp932")), "binary")
     named = functions.archive_names(rows.select("group", encode("want").alias("raw")))
     return named.select("group", "encoding", "text")
 
 
-_add("name_decode_cp932", _names, """SELECT DISTINCT coalesce(source, '') AS "group", 'cp932' AS encoding, translate(left(regexp_replace(text, '[^a-z]', '', 'g'), 12), 'abcdefghijklmnopqrstuvwxyz', 'あいうえおかきくけこさしすせそたちつてとなにぬねのは') AS text FROM documents""")
+_add("name_decode_cp932", _names, """SELECT "group", 'cp932' AS encoding, translate(word, 'abcdefghijklmnopqrstuvwxyz', 'あいうえおかきくけこさしすせそたちつてとなにぬねのは') AS text FROM (SELECT DISTINCT coalesce(source, '') AS "group", unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents)""")
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
