@@ -1,9 +1,10 @@
-"""AES over many blocks at once, ZipCrypto, and the key derivations of ZIP, 7z and RAR5."""
+"""AES over many blocks at once, ZipCrypto, and the key derivations of ZIP, 7z and RAR."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import struct
 
 import numpy as np
 
@@ -162,3 +163,26 @@ def seven_zip_key(password: str, salt: bytes, power: int, most: int) -> bytes:
         h.update(b"".join([unit + i.to_bytes(8, "little") for i in range(at, at + n)]))
         at += n
     return h.digest()
+
+
+def rar_key(password: bytes, salt: bytes) -> tuple[bytes, bytes]:
+    """AES-128 key and initial vector of RAR 2.9 to 4: 2**18 rounds of one SHA-1.
+
+    The original overwrites whole blocks of a long password by the last 16 words of their message schedule after hashing them in place; later rounds read those."""
+    raw, sha, done, iv = bytearray(password + salt), hashlib.sha1(), 0, []
+    for i in range(1 << 18):
+        sha.update(raw)
+        at = 64 - done % 64
+        while at + 64 <= len(raw):
+            w = list(struct.unpack_from(">16I", raw, at))
+            for t in range(16, 80):
+                x = w[t - 3] ^ w[t - 8] ^ w[t - 14] ^ w[t - 16]
+                w.append((x << 1 | x >> 31) & 0xFFFFFFFF)
+            struct.pack_into("<16I", raw, at, *w[64:])
+            at += 64
+        sha.update(i.to_bytes(3, "little"))
+        done += len(raw) + 3
+        if not i & 0x3FFF:
+            iv.append(sha.digest()[19])
+    words = struct.unpack(">5I", sha.digest())
+    return struct.pack("<4I", *words[:4]), bytes(iv)

@@ -166,8 +166,8 @@ class Unpacker:
 class Solid:
     """Files that are unpacked one after the other; reading them in order unpacks each once."""
 
-    def __init__(self, window: int):
-        self.window, self.files, self.next, self.state = window, [], 0, None
+    def __init__(self, make: Callable):
+        self.make, self.files, self.next, self.state = make, [], 0, None
 
     def add(self, data: Callable[[], bytes], size: int) -> Callable[[], bytes]:
         k = len(self.files)
@@ -176,7 +176,7 @@ class Solid:
 
     def read(self, k: int) -> bytes:
         if self.state is None or k < self.next:
-            self.state, self.next = Unpacker(self.window), 0
+            self.state, self.next = self.make(), 0
         out = b""
         try:
             while self.next <= k:

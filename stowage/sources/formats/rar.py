@@ -1,4 +1,4 @@
-"""RAR: listings of all generations; stored entries and RAR 5 compression and encryption read, others are reported as unsupported."""
+"""RAR: listings of all generations; compressed entries from 2.0 on are read, encrypted ones from 2.9 on, others are reported as unsupported."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import hmac
 import zlib
 
 from ...model import MICRO, Archive, ArchiveError, Entry, Options, malformed
-from ..codecs.crypto import aes_cbc
+from ..codecs.crypto import aes_cbc, rar_key
+from ..codecs.rar import Unpacker20, Unpacker29
+from ..codecs.rar5 import Solid, Unpacker
 from ..fields import dos_time, filetime, le, take
 
 #: RAR 4 and 5 host systems and methods.
@@ -119,21 +121,41 @@ def _unicode_name(ascii_part: bytes, packed: bytes) -> str:
 
 
 def _rar4(buf, opts: Options) -> list[tuple[Entry, bool]]:
-    at, out, main = 7, [], 0
+    at, out, main, chain, keys = 7, [], 0, [], {}
     while at + 7 <= len(buf):
-        h = take(buf, at, 7)
+        salt = None
+        if main & 0x80:
+            if at + 24 > len(buf):
+                break
+            salt = bytes(take(buf, at, 8))
+            if len(keys) == 0:
+                _locked4(salt, opts, keys, take(buf, at + 8, 16))
+            key, iv = _key4(salt, opts, keys)
+            at += 8
+            h = aes_cbc(key, iv, take(buf, at, 16))
+        else:
+            h = take(buf, at, 7)
         kind, flags, size = h[2], le(h, 3, 2), le(h, 5, 2)
         if size < 7:
-            raise malformed("RAR header size")
-        body = take(buf, at, size)
+            raise ArchiveError("wrongPassword") if salt else malformed("RAR header size")
+        if salt is None:
+            body = take(buf, at, size)
+        else:
+            padded = -(-size // 16) * 16
+            if at + padded > len(buf):
+                raise ArchiveError("wrongPassword")
+            body = aes_cbc(key, iv, take(buf, at, padded))[:size]
+            at += padded - size
+            if zlib.crc32(body[2:]) & 0xFFFF != le(h, 0, 2):
+                raise ArchiveError("wrongPassword")
         if kind in (0x73, 0x74) and zlib.crc32(body[2:]) & 0xFFFF != le(h, 0, 2):
             if not (kind == 0x73 and flags & 2):
                 raise malformed("RAR header checksum")
         add = le(body, 7, 4) if flags & 0x8000 or kind in (0x74, 0x7A) else 0
         if kind == 0x73:
             main = flags
-            if flags & 0x80:
-                raise ArchiveError("unsupportedMethod" if opts.password else "passwordRequired", "encrypted RAR headers")
+            if flags & 0x80 and opts.password is None:
+                raise ArchiveError("passwordRequired", "encrypted RAR headers")
         elif kind == 0x74:
             packed, full, host, crc, stamp, version, method, n, attr = le(body, 7, 4), le(body, 11, 4), body[15], le(body, 16, 4), le(body, 20, 4), body[24], body[25], le(body, 26, 2), le(body, 28, 4)
             p = 32
@@ -160,7 +182,16 @@ def _rar4(buf, opts: Options) -> list[tuple[Entry, bool]]:
             e = Entry(raw.replace(b"\\", b"/"), kind_name, 0 if folder else full, packed, dos_time(stamp >> 16, stamp & 0xFFFF, opts.timezone), unix & 0o7777 if unix else None, bool(flags & 4), crc=None if folder else crc, method=_METHODS[method - 0x30] if 0x30 <= method <= 0x35 else f"method {method}", declared="utf-8" if shown is not None else None, dir_hint=folder, extra=extra)
             if shown is not None:
                 e.name = shown.replace("\\", "/")
-            e.read = (lambda: b"") if folder else _stored(buf, at + size, packed, full, method - 0x30, crc, bool(flags & 4), before or after)
+            own = bytes(body[p + n : p + n + 8]) if flags & 0x400 else None
+            locked = bool(flags & 4)
+            if folder:
+                e.read = lambda: b""
+            elif before or after or not 0x30 <= method <= 0x35 or method > 0x30 and version not in _UNPACK4 or locked and (own is None or len(own) < 8):
+                e.read = _stored(buf, at + size, packed, full, method - 0x30, crc, locked, before or after)
+            else:
+                if method > 0x30 and not (solid and chain):
+                    chain[:] = [Solid((lambda most=opts.limits.max_dictionary: Unpacker29(most)) if version > 26 else Unpacker20)]
+                e.read = _read4(buf, at + size, packed, full, crc, own if locked else None, chain[0] if method > 0x30 else None, opts, keys)
             if not before:
                 out.append((e, solid))
         elif kind == 0x7B:
@@ -171,6 +202,72 @@ def _rar4(buf, opts: Options) -> list[tuple[Entry, bool]]:
     return out
 
 
+#: Fixed value: versions of the formats 2.0 and 2.9.
+_UNPACK4 = (20, 26, 29, 36)
+
+
+def _key4(salt: bytes, opts: Options, keys: dict) -> tuple[bytes, bytes]:
+    """Key and initial vector; keys: those already derived, and under "form" the form of the password to take."""
+    if opts.password is None:
+        raise ArchiveError("passwordRequired")
+    raw = _forms4(opts.password)[keys.setdefault("form", 0)]
+    if (salt, raw) not in keys:
+        keys[salt, raw] = rar_key(raw, salt)
+    return keys[salt, raw]
+
+
+def _forms4(password: str) -> list[bytes]:
+    """UTF-16; writers with wide characters of 32 bits kept only the low half of those beyond 16."""
+    password = password[:_PASSWORD]
+    forms = [password.encode("utf-16-le", "surrogatepass"), b"".join((ord(c) & 0xFFFF).to_bytes(2, "little") for c in password)]
+    return list(dict.fromkeys(forms))
+
+
+def _locked4(salt: bytes, opts: Options, keys: dict, block: bytes) -> None:
+    """Chooses the form of the password under which an encrypted header starts with a known type."""
+    for keys["form"] in range(len(_forms4(opts.password or ""))):
+        if 0x72 <= aes_cbc(*_key4(salt, opts, keys), block)[2] <= 0x7B:
+            return
+    keys["form"] = 0
+
+
+def _read4(buf, at: int, packed: int, size: int, crc: int, salt: bytes | None, solid, opts: Options, keys: dict):
+    """Reads one RAR 2 to 4 file; solid: the files that are unpacked in turn, None for a stored one."""
+    def data() -> bytes:
+        raw = bytes(take(buf, at, packed))
+        return raw if salt is None else aes_cbc(*_key4(salt, opts, keys), raw[: packed // 16 * 16])
+
+    unpacked = solid.add(data, size) if solid else lambda: data()[:size]
+
+    def read() -> bytes:
+        if salt is not None and opts.password is None:
+            raise ArchiveError("passwordRequired")
+        if salt is None:
+            return checked()
+        first = keys.setdefault("form", 0)
+        for form in range(len(_forms4(opts.password))):
+            keys["form"] = (first + form) % len(_forms4(opts.password))
+            try:
+                return checked()
+            except ArchiveError as e:
+                if e.code not in ("malformed", "truncated", "checksumMismatch"):
+                    raise
+                if solid:
+                    solid.state = None
+        keys["form"] = first
+        raise ArchiveError("wrongPassword")
+
+    def checked() -> bytes:
+        out = unpacked()
+        if len(out) != size:
+            raise malformed("stored size")
+        if zlib.crc32(out) != crc:
+            raise ArchiveError("checksumMismatch", "CRC-32")
+        return out
+
+    return read
+
+
 def _vint(b: bytes, at: int) -> tuple[int, int]:
     v = shift = 0
     while True:
@@ -240,8 +337,6 @@ def _rar5(buf, opts: Options) -> list[tuple[Entry, bool]]:
 
 def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int, opts: Options, chain: list) -> tuple[Entry, bool] | None:
     """chain: the solid group in progress, if any."""
-    from ..codecs.rar5 import Solid
-
     own, q = _vint(h, q)
     size, q = _vint(h, q)
     attr, q = _vint(h, q)
@@ -306,7 +401,7 @@ def _file5(buf, h: bytes, q: int, end: int, flags: int, data: int, packed: int,
             window = 131072 << (info >> 10 & 15)
             if window > opts.limits.max_dictionary:
                 raise ArchiveError("limitExceeded", "RAR dictionary")
-            chain[:] = [Solid(window)]
+            chain[:] = [Solid(lambda: Unpacker(window))]
         e.read = _read5(buf, data, packed, size, method, crc, lock, digest, chain[0] if method else None, opts)
     return e, bool(info & 64)
 

@@ -161,6 +161,14 @@ def _decode(coder: tuple[bytes, int, int, bytes], ins: list[bytes], size: int, o
         return bunzip2(data)[:size]
     if name == "ZSTD":
         return unzstd(data)[:size]
+    if name == "PPMD":
+        from ..codecs.ppmd import ppmd7
+
+        if len(props) != 5:
+            raise malformed("PPMd properties")
+        if le(props, 1, 4) > opts.limits.max_dictionary:
+            raise ArchiveError("limitExceeded", "PPMd memory")
+        return ppmd7(data, props[0], le(props, 1, 4), size)
     if name == "Delta":
         from ..codecs.branch import delta
 
