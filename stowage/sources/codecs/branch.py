@@ -44,6 +44,38 @@ def arm64(data: bytes, start: int = 0) -> bytes:
     return bytes(out)
 
 
+def riscv(data: bytes, start: int = 0) -> bytes:
+    """Targets of JAL and of AUIPC pairs become relative again."""
+    out, i, word = bytearray(data), 0, lambda at: int.from_bytes(out[at : at + 4], "little")
+    while i + 8 <= len(out):
+        first, here = out[i], start + i
+        if first == 0xEF and not out[i + 1] & 0x0D:
+            a, b, c = out[i + 1 : i + 4]
+            to = ((a & 0xF0) << 13 | b << 9 | c << 1) - here & 0xFFFFFFFF
+            out[i + 1 : i + 4] = bytes([a & 15 | to >> 8 & 0xF0, to >> 16 & 15 | to >> 7 & 16 | to << 4 & 0xE0, to >> 4 & 0x7F | to >> 13 & 0x80])
+            i += 4
+        elif first & 0x7F == 0x17:
+            one, two = word(i), word(i + 4)
+            if one & 0xE80:
+                if (one << 8 ^ two) & 0xF8003 != 3:
+                    i += 6
+                    continue
+                to = (one & 0xFFFFF000) + (two >> 20)
+                one, two = 0x17 | 2 << 7 | two << 12, to
+            else:
+                register = one >> 27
+                if (one - 0x3117 << 18) & 0xFFFFFFFF >= register & 0x1D:
+                    i += 4
+                    continue
+                to = int.from_bytes(out[i + 4 : i + 8], "big") - here
+                one, two = 0x17 | register << 7 | to + 0x800 & 0xFFFFF000, one >> 12 | to << 20
+            out[i : i + 8] = (one & 0xFFFFFFFF).to_bytes(4, "little") + (two & 0xFFFFFFFF).to_bytes(4, "little")
+            i += 8
+        else:
+            i += 2
+    return bytes(out)
+
+
 class _Range:
     """The binary range decoder that BCJ2 shares with LZMA."""
 

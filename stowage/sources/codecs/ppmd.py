@@ -1,4 +1,4 @@
-"""PPMd variant H: contexts of up to 64 symbols, with the range coders of 7z and RAR.
+"""PPMd variants H (7z, RAR) and I (ZIP): contexts of up to 64 symbols, and the range coders of 7z and RAR.
 
 Contexts and states are objects; only the sizes and places of their blocks are kept as numbers, since running out of the stated memory restarts the model."""
 
@@ -136,10 +136,10 @@ class Heap:
 class Context:
     """stats: [symbol, frequency, what follows] each; what follows is a place in the text, a context or 0."""
 
-    __slots__ = ("stats", "total", "at", "suffix")
+    __slots__ = ("stats", "total", "at", "suffix", "flags")
 
-    def __init__(self, stats: list[list], suffix: Context | None):
-        self.stats, self.suffix, self.total, self.at = stats, suffix, 0, -1
+    def __init__(self, stats: list[list], suffix: Context | None, flags: int = 0):
+        self.stats, self.suffix, self.total, self.at, self.flags = stats, suffix, 0, -1, flags
 
 
 class SevenZipCoder:
@@ -204,12 +204,14 @@ class RarCoder:
 class Model:
     """Symbols from a range coder, which may be exchanged between symbols."""
 
+    BINARY_MOST, HEAP, EVEN = 128, Heap, 0
+
     def __init__(self, order: int, memory: int):
         self.order, self.memory, self.coder = order, memory, None
         self.restart()
 
     def restart(self) -> None:
-        self.heap, self.text, self.end = Heap(self.memory), bytearray(), 0
+        self.heap, self.text, self.end = self.HEAP(self.memory), bytearray(), 0
         self.fall = self.order
         self.run = self.first_run = -min(self.order, 12) - 1
         self.success = 0
@@ -236,7 +238,7 @@ class Model:
             if count < high:
                 coder.take(0, high)
                 self.found = s
-                self.success = int(2 * high > c.total)
+                self.success = int(2 * high + self.EVEN > c.total)
                 self.run += self.success
                 self._count(c, s)
                 self._next()
@@ -261,14 +263,14 @@ class Model:
         else:
             s = stats[0]
             n = len(c.suffix.stats) - 1
-            self.high_bits = 8 * (self.found[0] >= 64)
-            row, k = self.binary[s[1] - 1], self.success + (0 if n < 1 else 2 if n < 2 else 4 if n < 11 else 6) + self.high_bits + 16 * (s[0] >= 64) + (32 if self.run < 0 else 0)
+            row, k = self._binary(c, s)
+            k += self.success + (0 if n < 1 else 2 if n < 2 else 4 if n < 11 else 6) + (32 if self.run < 0 else 0)
             chance = row[k]
             mean = chance + 32 >> PERIOD
             if not coder.bit(chance):
                 row[k] = chance + 128 - mean
                 self.found = s
-                s[1] += s[1] < 128
+                s[1] += s[1] < self.BINARY_MOST
                 self.success = 1
                 self.run += 1
                 self._next()
@@ -314,6 +316,11 @@ class Model:
             see[0] = see[0] + total & 0xFFFF
             masked.update(s[0] for s in left)
 
+    def _binary(self, c: Context, s: list) -> tuple[list[int], int]:
+        """The row of chances of a binary context, and a part of the place in it."""
+        self.high_bits = 8 * (self.found[0] >= 64)
+        return self.binary[s[1] - 1], self.high_bits + 16 * (s[0] >= 64)
+
     def _estimate(self, c: Context, known: int) -> tuple[list[int], int]:
         """An escape's estimate and its frequency."""
         n = len(c.stats)
@@ -357,11 +364,7 @@ class Model:
             escape += gone
             if len(stats) == 1:
                 one = stats[0]
-                while True:
-                    one[1] -= one[1] >> 1
-                    escape >>= 1
-                    if escape <= 1:
-                        break
+                self._alone(c, one, escape)
                 self.heap.free[FIT[n + 1 >> 1]].append(c.at)
                 self.found = one
                 return
@@ -369,8 +372,20 @@ class Model:
             if old != new:
                 c.at = self.heap.shrink(c.at, old, new)
         c.total = total + escape - (escape >> 1) & 0xFFFF
+        self._halved(c, gone)
         self.found = stats[0]
 
+    def _alone(self, c: Context, one: list, escape: int) -> None:
+        """The frequency of the only symbol left."""
+        while True:
+            one[1] -= one[1] >> 1
+            escape >>= 1
+            if escape <= 1:
+                return
+
+    def _halved(self, c: Context, gone: int) -> None:
+        """What else changes with halved frequencies."""
+
     def _next(self) -> None:
         to = self.found[2]
         if not self.fall and isinstance(to, Context):
@@ -384,31 +399,55 @@ class Model:
         except Full:
             self.restart()
 
-    def _grow(self) -> None:
-        found, least = self.found, self.least
-        symbol, freq, to = found
-        if freq < MOST // 4 and (c := least.suffix) is not None:
-            if len(c.stats) == 1:
-                c.stats[0][1] += c.stats[0][1] < 32
-            else:
-                i = next(i for i, x in enumerate(c.stats) if x[0] == symbol)
-                x = c.stats[i]
-                if i and x[1] >= c.stats[i - 1][1]:
-                    c.stats[i], c.stats[i - 1] = c.stats[i - 1], x
-                if x[1] < MOST - 9:
-                    x[1] += 2
-                    c.total += 2
-        if not self.fall:
-            self.least = self.most = found[2] = self._chain(True)
-            return
+    def _favour(self) -> list | None:
+        """The found symbol counts in the next shorter context too; its state there, if so."""
+        symbol, freq, _ = self.found
+        c = self.least.suffix
+        if freq >= MOST // 4 or c is None:
+            return None
+        if len(c.stats) == 1:
+            x = c.stats[0]
+            x[1] += x[1] < 32
+            return x
+        i = next(i for i, x in enumerate(c.stats) if x[0] == symbol)
+        x = c.stats[i]
+        if i and x[1] >= c.stats[i - 1][1]:
+            c.stats[i], c.stats[i - 1] = c.stats[i - 1], x
+        if x[1] < MOST - 9:
+            x[1] += 2
+            c.total += 2
+        return x
+
+    def _write(self, symbol: int) -> None:
         if self.end < len(self.text):
             self.text[self.end] = symbol
         else:
             self.text.append(symbol)
         self.end += 1
-        after = self.end
         if self.end >= self.heap.start:
             raise Full
+
+    def _widen(self, c: Context) -> None:
+        """Room for one more state."""
+        own = len(c.stats)
+        if own == 1:
+            c.at = self.heap.block(0, self.end)
+            one = c.stats[0]
+            one[1] = 2 * one[1] if one[1] < MOST // 4 - 1 else MOST - 4
+        elif not own & 1 and (i := FIT[own >> 1]) != FIT[(own >> 1) + 1]:
+            at = self.heap.block(i + 1, self.end)
+            self.heap.free[i].append(c.at)
+            c.at = at
+
+    def _grow(self) -> None:
+        found, least = self.found, self.least
+        self._favour()
+        symbol, freq, to = found
+        if not self.fall:
+            self.least = self.most = found[2] = self._chain(True)
+            return
+        self._write(symbol)
+        after = self.end
         if to:
             if not isinstance(to, Context):
                 to = self._chain(False)
@@ -423,19 +462,11 @@ class Model:
         c, others = self.most, least.total - n - (freq - 1)
         while c is not least:
             own = len(c.stats)
+            self._widen(c)
             if own != 1:
-                if not own & 1:
-                    i = FIT[own >> 1]
-                    if i != FIT[(own >> 1) + 1]:
-                        at = self.heap.block(i + 1, self.end)
-                        self.heap.free[i].append(c.at)
-                        c.at = at
                 c.total += (2 * own < n) + 2 * (4 * own <= n and c.total <= 8 * own)
             else:
-                c.at = self.heap.block(0, self.end)
-                one = c.stats[0]
-                one[1] = 2 * one[1] if one[1] < MOST // 4 - 1 else MOST - 4
-                c.total = one[1] + self.escape + (n > 3)
+                c.total = c.stats[0][1] + self.escape + (n > 3)
             share, whole = 2 * freq * (c.total + 6), others + c.total
             if share < 6 * whole:
                 count = 1 + (share > whole) + (share >= 4 * whole)
@@ -482,6 +513,201 @@ class Model:
         return c
 
 
+class HeapI(Heap):
+    """Blocks are merged in the order of the lists, and more seldom."""
+
+    def _merge(self) -> None:
+        self.glue = 1 << 13
+        size = {at: UNITS[i] for i, blocks in enumerate(self.free) for at in reversed(blocks)}
+        gap = self.low if self.low != self.high else None
+        for blocks in self.free:
+            blocks.clear()
+        order = []
+        for at in size:
+            if not size[at]:
+                continue
+            order.append(at)
+            while size.get(after := at + size[at] * UNIT) and after != gap:
+                size[at] += size[after]
+                size[after] = 0
+        for at in order:
+            units = size[at]
+            while units > 128:
+                self.free[-1].append(at)
+                at, units = at + 128 * UNIT, units - 128
+            if units:
+                self._put(at, units)
+
+
+def _groups() -> list[int]:
+    group, own, left = list(range(5)), 5, 1
+    while len(group) < 260:
+        group.append(own)
+        left -= 1
+        if not left:
+            own += 1
+            left = own - 4
+    return group
+
+
+GROUP_I = _groups()
+
+
+class ModelI(Model):
+    """Variant I. A context's flags: 4 after halving, 8 for a symbol from 64 up, 16 for such a symbol before it."""
+
+    BINARY_MOST, HEAP, EVEN = 196, HeapI, 1
+
+    def __init__(self, order: int, memory: int, cut: bool = False):
+        self.cut = cut
+        super().__init__(order, memory)
+
+    def restart(self) -> None:
+        super().restart()
+        last = lambda m: max(i for i, g in enumerate(GROUP_I) if g == m)
+        self.binary = [[BINARY_SCALE - FIRST_ESCAPES[k & 7] // (last(m) + 2) for k in range(64)] for m in range(25)]
+        self.see = [[[2 * (last(m) - 2) + 5 << PERIOD - 4, PERIOD - 4, 7] for _ in range(32)] for m in range(3, 27)]
+
+    def _binary(self, c: Context, s: list) -> tuple[list[int], int]:
+        return self.binary[GROUP_I[s[1] - 1]], c.flags
+
+    def _estimate(self, c: Context, known: int) -> tuple[list[int], int]:
+        n = len(c.stats)
+        if n == 256:
+            return self.plain, 1
+        see = self.see[GROUP_I[n + 1] - 3][(c.total > 11 * n) + 2 * (2 * (n - 1) < len(c.suffix.stats) + known - 2) + c.flags]
+        r = see[0] >> see[1]
+        see[0] = see[0] - r & 0xFFFF
+        return see, r or 1
+
+    def _alone(self, c: Context, one: list, escape: int) -> None:
+        one[1] = min((2 * one[1] + escape - 1) // escape, MOST // 3)
+        c.flags = c.flags & 16 | 8 * (one[0] >= 64)
+
+    def _halved(self, c: Context, gone: int) -> None:
+        if gone:
+            c.flags = c.flags & ~8 | 8 * any(s[0] >= 64 for s in c.stats)
+        c.flags |= 4
+
+    def _update(self) -> None:
+        try:
+            self._grow()
+        except Full:
+            if self.cut:
+                raise ArchiveError("unsupportedMethod", "PPMd model cut off") from None
+            self.restart()
+
+    def _grow(self) -> None:
+        found, least, c = self.found, self.least, self.most
+        beside = self._favour()
+        symbol, freq, to = found
+        if not self.fall and to:
+            self.least = self.most = found[2] = self._successors(True, beside, least, found)
+            return
+        self._write(symbol)
+        after = self.end
+        if not to:
+            to = self._reduced(beside, least)
+        elif not isinstance(to, Context):
+            to = self._successors(False, beside, least, found)
+        self.fall -= 1
+        if not self.fall:
+            after = to
+            self.end -= self.most is not least
+        n = len(least.stats) - 1
+        others, flag = least.total - n - freq, 8 * (symbol >= 64)
+        while c is not least:
+            own = len(c.stats) - 1
+            self._widen(c)
+            if own:
+                c.total += 3 * own + 1 < n
+            else:
+                c.total = c.stats[0][1] + self.escape + (n > 2)
+            share, whole = 2 * freq * (c.total + 6), others + c.total
+            if share < 6 * whole:
+                count = 1 + (share > whole) + (share >= 4 * whole)
+                c.total += 4
+            else:
+                count = 4 + (share > 9 * whole) + (share > 12 * whole) + (share > 15 * whole)
+                c.total += count
+            c.stats.append([symbol, count, after])
+            c.flags |= flag
+            c = c.suffix
+        self.least = self.most = to
+
+    def _reduced(self, beside: list | None, c: Context) -> Context:
+        """A shorter context for a symbol that nothing follows yet."""
+        found, first, branch = self.found, c, self.end
+        found[2] = branch
+        self.fall += 1
+        while True:
+            if beside is not None:
+                c, s, beside = c.suffix, beside, None
+            else:
+                if c.suffix is None:
+                    return c
+                c = c.suffix
+                if len(c.stats) > 1:
+                    s = next(x for x in c.stats if x[0] == found[0])
+                    if s[1] < MOST - 9:
+                        s[1] += 2
+                        c.total += 2
+                else:
+                    s = c.stats[0]
+                    s[1] += s[1] < 32
+            if s[2]:
+                break
+            s[2] = branch
+            self.fall += 1
+        if not isinstance(s[2], Context):
+            s[2] = self._successors(False, None, c, s)
+        if self.fall == 1 and first is self.most:
+            found[2] = s[2]
+            self.end -= 1
+        return s[2]
+
+    def _successors(self, skip: bool, beside: list | None, c: Context, found: list) -> Context:
+        symbol, branch = found[0], found[2]
+        waiting = [] if skip else [found]
+        while c.suffix is not None:
+            c = c.suffix
+            if beside is not None:
+                s, beside = beside, None
+            elif len(c.stats) > 1:
+                s = next(x for x in c.stats if x[0] == symbol)
+                if s[1] < MOST - 9:
+                    s[1] += 1
+                    c.total += 1
+            else:
+                s = c.stats[0]
+                s[1] += len(c.suffix.stats) == 1 and s[1] < 24
+            if s[2] != branch:
+                if not isinstance(s[2], Context):
+                    raise malformed("PPMd data")
+                c = s[2]
+                if not waiting:
+                    return c
+                break
+            waiting.append(s)
+        if not isinstance(branch, int) or not branch < len(self.text):
+            raise malformed("PPMd data")
+        follows = self.text[branch]
+        if len(c.stats) == 1:
+            freq = c.stats[0][1]
+        else:
+            s = next((x for x in c.stats if x[0] == follows), None)
+            if s is None:
+                raise malformed("PPMd data")
+            own = s[1] - 1
+            others = c.total - len(c.stats) + 1 - own
+            freq = 1 + (int(5 * own > others) if 2 * own <= others else (own + 2 * others - 3) // others) & 0xFF
+        for s in reversed(waiting):
+            self.heap.context(self.end)
+            c = Context([[follows, freq, branch + 1]], c, 16 * (symbol >= 64) | 8 * (follows >= 64))
+            s[2] = c
+        return c
+
+
 def reader(data: bytes, at: int = 0) -> Callable[[], int]:
     """Bytes one by one; some zeros follow the end, then an error."""
     stream = iter(memoryview(data)[at:])
@@ -515,3 +741,25 @@ def ppmd7(data: bytes, order: int, memory: int, size: int) -> bytes:
             break
         out.append(s)
     return bytes(out)
+
+
+def zip_ppmd(data: bytes, size: int, most: int) -> bytes:
+    """A ZIP stream: two bytes of properties, then variant I; most: the memory allowed."""
+    if len(data) < 2:
+        raise ArchiveError("truncated", "PPMd data")
+    props = int.from_bytes(data[:2], "little")
+    order, memory, how = (props & 15) + 1, (props >> 4 & 255) + 1 << 20, props >> 12
+    if order < 2 or how > 2:
+        raise malformed("PPMd properties")
+    if how == 2:
+        raise ArchiveError("unsupportedMethod", "PPMd model frozen")
+    if memory > most:
+        raise ArchiveError("limitExceeded", "PPMd memory")
+    if not size:
+        return b""
+    model = ModelI(order, memory, how == 1)
+    model.coder = RarCoder(reader(data, 2))
+    out = bytearray()
+    while len(out) < size and (s := model.symbol()) >= 0:
+        out.append(s)
+    return bytes(out)

@@ -67,6 +67,10 @@ def decode(data: bytes, limit: int | None = None) -> bytes:
                 got = delta(got, props[0] + 1)
             elif kind == 10:
                 got = arm64(got, begin)
+            elif kind == 11:
+                from .branch import riscv
+
+                got = riscv(got, begin)
             elif kind in _KNOWN:
                 got = raw_lzma(_stored(got), [{"id": _KNOWN[kind], "start_offset": begin}, {"id": lzma.FILTER_LZMA2, "dict_size": 4096}], len(got))
             else:

@@ -181,6 +181,10 @@ def _decode(coder: tuple[bytes, int, int, bytes], ins: list[bytes], size: int, o
         from ..codecs.branch import arm64
 
         return arm64(data, le(props, 0, 4) if len(props) >= 4 else 0)
+    if name == "RISCV":
+        from ..codecs.branch import riscv
+
+        return riscv(data, le(props, 0, 4) if len(props) >= 4 else 0)
     if name in ("Swap2", "Swap4"):
         from ..codecs.branch import swap
 

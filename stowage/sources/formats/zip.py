@@ -137,6 +137,10 @@ def decode(method: int, data: bytes, size: int, flags: int, opts: Options) -> by
         return unzstd(data, size)
     if method == 95:
         return unxz(data, size)
+    if method == 98:
+        from ..codecs.ppmd import zip_ppmd
+
+        return zip_ppmd(data, size, opts.limits.max_dictionary)
     if method in (1, 2, 3, 4, 5, 6):
         from ..codecs.ziplegacy import explode, reduce, unshrink
 

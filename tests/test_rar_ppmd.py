@@ -70,6 +70,36 @@ class Writer:
         return bytes(self.out)
 
 
+class Carryless(Writer):
+    """The same without carries, as RAR and ZIP have it."""
+
+    def __init__(self, model):
+        super().__init__(model)
+
+    def take(self, start, size):
+        self.low = self.low + start * self.range & 0xFFFFFFFF
+        self.range = self.range * size & 0xFFFFFFFF
+        while True:
+            if (self.low ^ self.low + self.range) & 0xFFFFFFFF >= 1 << 24:
+                if self.range >= 1 << 15:
+                    return
+                self.range = -self.low & 0x7FFF
+            self._shift()
+            self.range = self.range << 8 & 0xFFFFFFFF
+
+    def _shift(self):
+        self.out.append(self.low >> 24)
+        self.low = self.low << 8 & 0xFFFFFFFF
+
+    def bit(self, zero):
+        self.range >>= 14
+        one = self.model.least.stats[0][0] != self.wanted
+        if one:
+            self.masked.add(self.model.least.stats[0][0])
+        self.take(*((zero, (1 << 14) - zero) if one else (0, zero)))
+        return one
+
+
 def _text(n, seed=1):
     r = random.Random(seed)
     words = [bytes(r.choices(b"abcdefghij", k=r.randint(2, 7))) for _ in range(200)]
@@ -83,6 +113,59 @@ def test_ppmd_round_trip_also_where_memory_runs_out(order, memory):
     assert ppmd.ppmd7(packed, order, memory, len(data)) == data
 
 
+@pytest.mark.parametrize("order, megabytes, how", [(2, 1, 0), (8, 1, 0), (16, 1, 0), (6, 4, 1)])
+def test_ppmd_in_zip(order, megabytes, how):
+    data = _text(20_000, order) + random.Random(4).randbytes(20_000 if order == 16 else 2_000) + bytes(3_000) + "\u00fcber".encode() * 500
+    packed = Carryless(ppmd.ModelI(order, megabytes << 20)).write(data)
+    props = (order - 1 | megabytes - 1 << 4 | how << 12).to_bytes(2, "little")
+    raw = _zip(props + packed, data)
+    a = open_archive(raw, "a.zip", Options())
+    assert payload(a.entries[0], Options()) == data
+    with pytest.raises(ArchiveError):
+        payload(open_archive(_zip(props + packed[: len(packed) // 2], data), "a.zip", Options()).entries[0], Options())
+    for bad in (b"", b"\0\0abcd", b"\5\x20abcd"):
+        with pytest.raises(ArchiveError):
+            ppmd.zip_ppmd(bad, 10, 1 << 30)
+
+
+def test_ppmd_variants_where_memory_runs_out():
+    data = _text(20_000) + random.Random(5).randbytes(5_000)
+    for model, writer in ((ppmd.Model, Carryless), (ppmd.ModelI, Carryless)):
+        packed = writer(model(8, 1 << 15)).write(data)
+        again = model(8, 1 << 15)
+        again.coder = ppmd.RarCoder(ppmd.reader(packed))
+        assert bytes(again.symbol() for _ in data) == data
+    cut = ppmd.ModelI(8, 1 << 15, True)
+    cut.coder = ppmd.RarCoder(ppmd.reader(packed))
+    with pytest.raises(ArchiveError) as e:
+        for _ in data:
+            cut.symbol()
+    assert e.value.code == "unsupportedMethod"
+
+
+def _zip(packed, data):
+    common = struct.pack("<HHHHHIIIHH", 20, 0, 98, 0, 33, zlib.crc32(data), len(packed), len(data), 1, 0)
+    local = b"PK\3\4" + common + b"a" + packed
+    central = b"PK\1\2" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, 0, 0) + b"a"
+    return local + central + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
+
+
+def test_riscv_branches_become_relative():
+    from stowage.sources.codecs.branch import riscv
+
+    r = random.Random(6)
+    for _ in range(50):
+        at, to = 2 * r.randrange(40), 2 * r.randrange(1 << 19)
+        tail, fill = bytes(8), bytes(at)
+        v = to + at & 0x1FFFFF
+        packed = bytes([0xEF, v >> 13 & 0xF0, v >> 9 & 255, v >> 1 & 255])
+        # JAL: bits 20, 10 to 1, 11 and 19 to 12 of the target, from the top
+        word = (to >> 20 & 1) << 31 | (to >> 1 & 0x3FF) << 21 | (to >> 11 & 1) << 20 | (to >> 12 & 255) << 12 | 0x6F | 0x80
+        assert riscv(fill + packed + tail) == fill + word.to_bytes(4, "little") + tail
+    data = bytes(range(256))
+    assert riscv(b"") == b"" and len(riscv(data)) == 256
+
+
 def test_ppmd_odd_inputs():
     assert ppmd.ppmd7(b"", 6, 1 << 20, 0) == b""
     for data in (b"\1\0\0\0\0", b"\0\xff\xff\xff\xff"):
