@@ -155,7 +155,8 @@ def test_what_fails_is_a_row(monkeypatch):
         z.writestr("a", b"text")
     data = held.getvalue()
     at = data.index(b"PK\1\2") + 10
-    odd = data[:at] + b"\x62\0" + data[at + 2 :]
-    assert next(reader.rows("a.zip", odd, Options(), True))["error"]["code"] == "unsupportedMethod"
+    for method, code in ((0x60, "unsupportedMethod"), (0x62, "malformed")):
+        odd = data[:at] + bytes([method, 0]) + data[at + 2 :]
+        assert next(reader.rows("a.zip", odd, Options(), True))["error"]["code"] == code
     monkeypatch.setitem(reader.PARSERS, "zip", lambda *a: (_ for _ in ()).throw(ModuleNotFoundError("gone")))
     assert next(reader.rows("a.zip", data, Options()))["error"]["code"] == "malformed"
