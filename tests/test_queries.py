@@ -34,6 +34,10 @@ def test_brotli_that_looks_like_a_volume(agrees):
     assert agrees("stream_br", [words(LIKE_HFS["br"]), "plain"])
 
 
+def test_lzma_that_looks_like_a_volume(agrees):
+    assert agrees("stream_lzma", [words(LIKE_HFS["lzma"]), "", "plain"])
+
+
 def test_volume_headers_are_still_found():
     head = b"\0\5" + bytes(36) + (4096).to_bytes(4, "big")
     assert detect(bytes(1024) + b"HX" + head + bytes(1000)) == "dmg"
