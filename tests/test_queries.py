@@ -1,12 +1,17 @@
 """Stream queries against their SQL on rows that the test tables do not have."""
 
+import lzma
 import random
 
 import duckdb
 import pytest
 
+from stowage.model import ArchiveError, Options
+from stowage.packing import compress, pack_cpio
 from stowage.queries import ORACLES, QUERIES
+from stowage.sources.codecs.small import unpbzx
 from stowage.sources.detect import detect
+from stowage.sources.reader import rows
 
 
 def words(seed: int) -> str:
@@ -38,6 +43,23 @@ def test_lzma_that_looks_like_a_volume(agrees):
     assert agrees("stream_lzma", [words(LIKE_HFS["lzma"]), "", "plain"])
 
 
+def test_pbzx_of_nothing_and_of_digits(agrees):
+    assert agrees("stream_pbzx", ["", "070707 is no archive", "070701" + "0" * 200, "plain " * 2000])
+
+
+def test_pbzx_chunks_to_the_end():
+    one, two = b"stored chunk", b"second " * 9
+    head = b"pbzx" + (4096).to_bytes(8, "big")
+    chunk = lambda size, body: size.to_bytes(8, "big") + len(body).to_bytes(8, "big") + body
+    whole = head + chunk(len(one), one) + chunk(len(two), lzma.compress(two))
+    assert unpbzx(whole) == one + two and unpbzx(head) == b""
+    for bad in (whole[:-1], whole + b"x", head + chunk(5000, one), head + chunk(3, one), head + chunk(3, lzma.compress(two)), head[:8]):
+        with pytest.raises(ArchiveError):
+            unpbzx(bad)
+    packed = pack_cpio([("a", "file", b"1")])
+    assert [r["format"] for r in rows("p.pbzx", compress("pbzx", packed), Options())] == ["cpio"]
+
+
 def test_volume_headers_are_still_found():
     head = b"\0\5" + bytes(36) + (4096).to_bytes(4, "big")
     assert detect(bytes(1024) + b"HX" + head + bytes(1000)) == "dmg"
