@@ -65,3 +65,7 @@ def test_volume_headers_are_still_found():
     assert detect(bytes(1024) + b"HX" + head + bytes(1000)) == "dmg"
     for odd in (b"HX\0\4" + head[2:], b"HX" + head[:-1] + b"\1"):
         assert detect(b"\x1b" + bytes(1023) + odd + bytes(1000), "x.tar") == "tar"
+
+
+def test_detected_formats(agrees):
+    assert agrees("detect_format", [*map(words, LIKE_HFS.values()), "", "070707 is no archive", "plain"])
