@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sql as functions
 from .model import Options
 from .operators import relations as R
-from .packing import archives_of, pack_cpio, streams_of
+from .packing import archives_as, archives_of, pack_cpio, streams_as, streams_of
 from .plans import reports
 from .sources import archive
 
@@ -35,11 +35,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number() -> Column:
+    """The number of a document's archive; as in SQL, the quotient is cut off towards zero."""
+    return F.expr(f"doc_id div {EACH}").cast("string")
+
+
+def _name() -> Column:
+    return F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
 def _packed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """All documents, EACH to an archive named by its number."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat(F.floor(F.col("doc_id") / EACH).cast("string"), F.lit(f".{kind}"))
-    return archives_of(docs, path, "doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), kind)
+    return archives_of(docs, F.concat(_number(), F.lit(f".{kind}")), "doc_id", _name(), F.col("text"), kind)
 
 
 _DOCS = f"(SELECT CAST(doc_id // {EACH} AS VARCHAR) || '.KIND' AS archive_path, CAST(row_number() OVER (PARTITION BY doc_id // {EACH} ORDER BY doc_id) - 1 AS INTEGER) AS index, coalesce(source, '') || '/' || doc_id || '.txt' AS name, doc_id, source, coalesce(text, '') AS text FROM documents)"
@@ -78,16 +86,18 @@ for _kind, _format in _STREAMS.items():
     _add(f"stream_{_kind}", _stream(_kind), f"SELECT doc_id || '.txt.{_kind}' AS archive_path, '{_format}' AS format, doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
 
 
+#: Archives that are detected; each format has its suffix for a name.
+_ARCHIVES = ("zip", "tar", "cpio", "ar")
+
+
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each suffix has a row for its own format, also where no file has it."""
     docs = _table(spark, sf_dir, "documents")
-    out = None
-    for kind in _STREAMS:
-        files = streams_of(docs, F.concat(F.col("doc_id").cast("string"), F.lit(f".{kind}")), F.col("text"), kind)
-        found = files.select(F.lit(kind).alias("suffix"), functions.detect_format("path", "content").alias("format"))
-        out = found if out is None else out.unionByName(found)
-    for kind in ("zip", "tar", "cpio", "ar"):
-        out = out.unionByName(_packed(spark, sf_dir, kind).select(F.lit(kind).alias("suffix"), functions.detect_format("path", "content").alias("format")))
-    return out.groupBy("suffix", "format").agg(F.count("*").alias("n"))
+    streams = streams_as(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), tuple(_STREAMS))
+    packed = archives_as(docs.where("doc_id is not null"), _number(), "doc_id", _name(), F.col("text"), _ARCHIVES)
+    found = streams.unionByName(packed).select(F.col("kind").alias("suffix"), functions.detect_format("path", "content").alias("format"), F.lit(1).alias("n"))
+    none = spark.createDataFrame([(k, f, 0) for k, f in [*_STREAMS.items(), *zip(_ARCHIVES, _ARCHIVES)]], "suffix string, format string, n int")
+    return found.unionByName(none).groupBy("suffix", "format").agg(F.sum("n").alias("n"))
 
 
 _add("detect_format", _detected, " UNION ALL ".join([f"SELECT '{k}' AS suffix, '{f}' AS format, count(*) AS n FROM documents" for k, f in _STREAMS.items()] + [f"SELECT '{k}' AS suffix, '{k}' AS format, count(DISTINCT doc_id // {EACH}) AS n FROM documents" for k in ("zip", "tar", "cpio", "ar")]))

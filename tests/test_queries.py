@@ -5,9 +5,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from stowage.model import ArchiveError, Options
-from stowage.packing import compress, pack_cpio
+from stowage.packing import PACKERS, compress, pack_cpio, streams_as
 from stowage.queries import ORACLES, QUERIES
 from stowage.sources.codecs.small import unpbzx
 from stowage.sources.detect import detect
@@ -69,3 +70,37 @@ def test_volume_headers_are_still_found():
 
 def test_detected_formats(agrees):
     assert agrees("detect_format", [*map(words, LIKE_HFS.values()), "", "070707 is no archive", "plain"])
+
+
+def koly(kind: str) -> bytes:
+    """A text for which the word stands 512 bytes before the end of an archive of that kind."""
+    pack = lambda text: PACKERS[kind]([("web/0.txt", "file", text)])
+    at = len(pack(b"-" * 1200)) - 512 - pack(b"-" * 1200).index(b"-" * 1200)
+    return b"-" * at + b"koly" + b"-" * (1196 - at)
+
+
+@pytest.mark.parametrize("text", [koly("ar").decode(), koly("cpio").decode(), "(This file must be converted with BinHex 4.0)"], ids=["ar", "cpio", "binhex"])
+def test_detected_formats_of_texts_with_signatures(agrees, text):
+    assert agrees("detect_format", [text])
+
+
+def test_koly_trailer_is_still_found():
+    assert detect(b"x" * 700 + b"koly" + b"\0\0\0\4" + b"\0\0\2\0" + bytes(500)) == "dmg"
+
+
+@pytest.mark.parametrize("given", [[], [(None, "plain", "web")], [(-1, "plain", "web"), (0, "", None), (1, None, "web"), ((1 << 60) + 19, "plain", "web"), ((1 << 60) + 20, "plain", "web")]], ids=["none", "no id", "odd ids"])
+def test_detected_formats_of_odd_rows(spark, tmp_path, given):
+    spark.createDataFrame(given, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(ORACLES["detect_format"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, QUERIES["detect_format"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_packed_alike_by_any_way(spark):
+    texts = [None, "", "plain", words(1), words(2) * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["kind"], r["path"]): bytes(r["content"]) for r in streams_as(docs, F.col("id").cast("string"), F.col("text"), ("xz", "lzma", "lz", "pbzx", "gz")).collect()}
+    assert got == {(k, f"{i}.{k}"): compress(k, (t or "").encode()) for i, t in enumerate(texts) for k in ("xz", "lzma", "lz", "pbzx", "gz")}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        assert lzma.decompress(got["xz", f"{i}.xz"]) == lzma.decompress(got["lzma", f"{i}.lzma"], lzma.FORMAT_ALONE) == unpbzx(got["pbzx", f"{i}.pbzx"]) == raw
+        assert [r["format"] for r in rows("1.lz", got["lz", f"{i}.lz"], Options())] == ["lzip"]
