@@ -1,7 +1,8 @@
 """From raw documents to token ids: drop toxic texts, boilerplate lines and near copies, mix sources, encode.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a frame. All but the
-last keep the columns of documents.
+last keep the columns of documents. Stages that run Python set the session's bytes of an Arrow batch
+(small_batches), for good, since what they return is computed later.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import bpe, linededup, mixing, setsketch, toxicity
-from stowage.llm.common import stored, table
+from stowage.llm.common import small_batches, stored, table
 from stowage.llm.queries import tokenizer_path
 
 #: No stage of a neural net, of sketches or of BPE can be put in SQL; tests compare run() with brute force.
@@ -30,6 +31,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score below 0.5."""
+    small_batches(spark)
     net = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, net, out="__toxicity").where(F.col("__toxicity") < 0.5).select(*docs.columns)
 
@@ -41,6 +43,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest id, of one id the least text; ids may repeat or be null (last)."""
+    small_batches(spark)
     key, ids = "doc_id", docs.groupBy("doc_id").count()
     if not ids.where("count > 1 or doc_id is null").isEmpty():  # rows get ids of their own, in the order in which they stay
         key, order = "__row", [F.col("doc_id").asc_nulls_last(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
@@ -61,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of whole texts."""
+    small_batches(spark)
     coded = bpe.encode(docs, tokenizer_path(), keep=["doc_id", "text"])
     sha = lambda c: F.sha2(c, 256)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", sha(F.col("ids")).alias("ids_sha256"), sha(F.encode("decoded", "UTF-8")).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ the join: it is re-encoded from the last blank before the cut to the first one a
 past more cuts if need be. Encodings of text on either side of a blank never depend on each other in
 the tokenizers accepted here, so the repaired join agrees exactly with the encoding of the whole.
 
-Both stores are bounded and start anew when full; they hold nothing that cannot be made again, so a
+Both stores are bounded and start anew when full, and go when another operator takes the worker; they hold nothing that cannot be made again, so a
 lost executor costs only the repetition. Nothing is shuffled.
 
 Defined results: null text is empty, with no tokens and an empty decoding; repeated rows are encoded
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import drop_others, keeps, tidy
 
 WINDOW, CHUNK_BITS = 16, 9
 #: Bounds of a worker's stores: pieces in a generation, their code points each, and code points in all chunks.
@@ -142,7 +142,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     place, n = columns.index(text), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("bpe")
         codec = Codec.at(path)
+        keeps("bpe", Codec._made.clear)
         for batch in batches:
             start, ids, said, size = 0, [], [], 0
             for i, value in enumerate(batch.column(place)):

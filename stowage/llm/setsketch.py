@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, tidy
+from .common import cut, drop_others, stored, tidy
 from .words import mix as _mix
 from .words import word_hashes
 
@@ -150,6 +150,7 @@ def _described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, n, sig, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         for batch in _slices(batches):
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
             k = sketches(sets)
@@ -162,6 +163,7 @@ def _banded(reps: DataFrame) -> DataFrame:
     """(key, id) for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -180,6 +182,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 x = whole.slice(at, 4096)
@@ -197,6 +200,7 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> Da
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(needed) if few else needed, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         for batch in _slices(batches):
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
@@ -214,6 +218,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     rows = centres.unionByName(members).join(sets, "id").repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         centre, own = None, np.empty(0, _U)
         for batch in batches:
             a, b = [], []
@@ -284,6 +289,7 @@ def _unsettled(banded: DataFrame, settled: DataFrame, reps: DataFrame, least: fl
                 out.update((min(int(labels[i]), b), max(int(labels[i]), b)) for b in np.unique(labels[j[near]]).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         group: list[tuple] = []
         for batch in batches:
             out: set[tuple] = set()
@@ -322,6 +328,7 @@ def _crossed(combos: DataFrame, labels: DataFrame, docs: DataFrame, key: str, te
     rows = rows.join(sets, "id").repartition("home", "h", "g").sortWithinPartitions("home", "h", "g", "guest", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("setsketch")
         place, ids, held = None, [], []
         table: tuple | None = None
         for batch in batches:

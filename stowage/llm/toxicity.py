@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import drop_others, tidy
 
 WINDOW, STRIDE = 32, 16
 #: Characters of a word; longer runs (text without blanks) are read in pieces that overlap by half.
@@ -395,6 +395,7 @@ def score(docs: DataFrame, net: Net, keep: list[str] | None = None, text: str =
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("toxicity")
         scorer = Scorer(shared.value)
         for batch in batches:
             got = scorer.score(batch.column(place).to_pylist())

@@ -6,7 +6,9 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from stowage.llm import bpe, linededup, toxicity
+import pyarrow as pa
+from stowage.llm import bpe, linededup, setsketch, toxicity
+from stowage.llm.common import ARROW_BYTES, small_batches
 from stowage.llm.queries import tokenizer_path
 
 from .conftest import text
@@ -106,3 +108,48 @@ def test_repeated_and_null_ids_lose_no_unlike_text(spark, tmp_path):
     got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (4, None), (4, "")])
+
+
+class Frame:
+    """Takes the place of a frame and keeps the function that workers would run."""
+
+    def __init__(self, df):
+        self.columns, self.schema = df.columns, df.schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_stores_of_bpe_go_when_another_operator_takes_the_worker(spark):
+    docs = Frame(spark.createDataFrame([], COLUMNS))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three"]})
+    encode = lambda: list(bpe.encode(docs, tokenizer_path(), keep=["doc_id"]).run(iter([batch])))
+    want, codec = encode(), bpe.Codec.at(tokenizer_path())
+    assert encode() == want and bpe.Codec._made == {tokenizer_path(): codec}  # kept from task to task
+    list(setsketch._described(docs, "doc_id", "text", 5).run(iter([batch])))
+    assert not bpe.Codec._made
+    assert encode() == want
+
+
+def test_texts_go_to_workers_in_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id doc_id", "repeat(concat(id, ' word '), 300) text", "'en' lang", "'s' source", "0L n_chars")
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    probe = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.encode):
+        spark.conf.set(name, "64m")
+        stage(spark, docs.limit(3), str(tmp_path))
+        sizes = [r["n"] for r in docs.mapInArrow(probe, "n long").collect()]
+        assert sum(sizes) > 3 * ARROW_BYTES and max(sizes) < 1.1 * ARROW_BYTES, stage
+    for size, now in (("1m", "1m"), ("3000000", "3000000"), ("1g", str(ARROW_BYTES))):
+        spark.conf.set(name, size)
+        small_batches(spark)
+        assert spark.conf.get(name) == now
+    spark.conf.unset(name)
+    small_batches(spark)
+    assert spark.conf.get(name) == str(ARROW_BYTES)
+    spark.conf.unset(name)
