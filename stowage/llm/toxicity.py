@@ -68,7 +68,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets; n-gram buckets of all words; where each word's n-grams start."""
-    word = np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in vocabulary], np.int64)
+    word = np.fromiter((zlib.crc32(w.encode()) % WORD_BUCKETS for w in vocabulary), np.int64, len(vocabulary))
+    marked = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)) + 2
+    ends = np.cumsum(sum((np.maximum(marked - k + 1, 0) for k in GRAMS), np.zeros(1, np.int64)))
+    grams, starts = np.empty(ends[-1] if len(vocabulary) else 0, np.int32), np.concatenate([[0], ends[:-1]])[: len(vocabulary)]
+    for at in range(0, len(vocabulary), BLOCK):  # what sorts the n-grams of all words would take many times the n-grams
+        to = min(at + BLOCK, len(vocabulary))
+        grams[starts[at] : ends[to - 1]] = _grams(vocabulary[at:to])
+    return word, grams, starts
+
+
+def _grams(vocabulary: list[str]) -> np.ndarray:
+    """N-gram buckets of the words, word by word."""
     marked = [f"^{w}$" for w in vocabulary]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(marked), dtype=np.int32), [len(m) for m in marked])
@@ -81,11 +92,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             inside = owner[: len(h)] == owner[k - 1 :]
             ids.append((((h + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))[inside].astype(np.int32))
             of.append(owner[: len(h)][inside])
-    if not ids:
-        return word, np.empty(0, np.int64), np.empty(0, np.int64)
-    of = np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    return word, np.concatenate(ids)[order], np.searchsorted(of[order], np.arange(len(marked)))
+    return np.concatenate(ids)[np.argsort(np.concatenate(of), kind="stable")]
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,7 +140,12 @@ class Net:
         return out
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {way: np.vstack([np.zeros((1, 3 * HIDDEN), np.float32), x @ self.p[f"w{way}"] + self.p[f"a{way}"]]).astype(np.float32) for way in "fb"}
+        out = {}
+        for way in "fb":
+            out[way] = np.zeros((len(x) + 1, 3 * HIDDEN), np.float32)
+            np.matmul(x, self.p[f"w{way}"], out=out[way][1:])
+            out[way][1:] += self.p[f"a{way}"]
+        return out
 
     def run(self, x: dict[str, np.ndarray], ids: np.ndarray, keep: bool = False):
         """Logits of windows of word rows (0 pads the end); with keep also what backward() needs."""
@@ -212,18 +224,47 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
+def _indexed(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """The word rows of each text, from 1, and the words."""
+    rows: dict[str, int] = {}
+    return [np.array([rows.setdefault(w, len(rows) + 1) for w in words(t)], np.int32) for t in texts], list(rows)
+
+
+def _numbered(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of n words that stand in windows of word rows, from 0, and the windows as rows of these words alone."""
+    there = np.zeros(n + 1, bool)
+    there[0] = there[flat] = True
+    return np.flatnonzero(there)[1:] - 1, (np.cumsum(there, dtype=np.int32) - 1)[flat]
+
+
 def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
     """Fits a net to labelled texts; the order of rows matters, so pass them in a fixed one."""
+    net = _fit(texts, toxic, seed)
+    tidy()
+    return net
+
+
+def _fit(texts: list[str], toxic: list[int], seed: int) -> Net:
     net = Net(seed)
     y = np.array(toxic, np.float32)
     net.empty = float(min(y.mean(), 0.49)) if len(y) else 0.0
     if not (0 < y.sum() < len(y)):
         net.constant = net.empty
         return net
-    rows: dict[str, int] = {}
-    texts_ids = [np.array([rows.setdefault(w, len(rows) + 1) for w in words(t)], np.int64) for t in texts]
-    word, grams, starts = features(list(rows))
+    texts_ids, vocabulary = _indexed(texts)
+    word, grams, starts = features(vocabulary)
     ends = np.append(starts, len(grams))
+    del vocabulary
+    tidy()
+
+    def inputs_of(own: np.ndarray) -> np.ndarray:
+        """Inputs of words; n-grams are looked up for a block of words at a time."""
+        out = np.empty((len(own), INPUT), np.float32)
+        for at in range(0, len(own), BLOCK):
+            some = own[at : at + BLOCK]
+            sizes = ends[some + 1] - ends[some]
+            out[at : at + BLOCK] = net.inputs(word[some], grams[spans(ends[some], sizes)], np.cumsum([0, *sizes[:-1]]))
+        return out
 
     def odds(of, buckets: int, support: float) -> np.ndarray:
         """Log-odds of buckets by the texts that hold them, less where few do."""
@@ -244,6 +285,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
     hint = np.zeros(len(word) + 1, np.float32)
     hint[1:] = net.p["word"][word, 0] + (np.maximum.reduceat(net.odds[grams], starts) if len(word) else 0)
     every = [windows(ids) for ids in texts_ids]
+    del texts_ids
     wins = []
     for w in every:
         h = hint[w]
@@ -251,17 +293,18 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
         wins.append(w[sorted(picks)])
     flat, owner = np.vstack(wins), np.repeat(np.arange(len(wins)), [len(w) for w in wins])
     first = np.cumsum([0, *[len(w) for w in wins]])
-    used, near = np.unique(flat, return_inverse=True)
-    used, near = (used[1:], near) if used[0] == 0 else (used, near + 1)
-    near, used = near.reshape(flat.shape), used - 1
-    held = word[used], grams[spans(ends[used], ends[used + 1] - ends[used])], np.cumsum([0, *(ends[used + 1] - ends[used])[:-1]])
+    del wins, hint
+    # the threshold is set on rows set aside where they have both classes
+    judged = np.flatnonzero(~learns if min((y[~learns] == 1).sum(), (y[~learns] == 0).sum()) >= 5 else np.ones(len(y), bool))
+    every = [every[i] for i in judged]
+    seen, near = _numbered(flat, len(word))
     moment: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     rng, step = np.random.default_rng(seed), 0
     share = len(y) / (2 * np.array([len(y) - y.sum(), y.sum()]))
     for round_ in range(MOST_ROUNDS):
         if round_ >= ROUNDS and step >= STEPS:
             break
-        x = net.projected(net.inputs(*held))
+        x = net.projected(inputs_of(seen))
         logits = np.concatenate([net.run(x, near[i : i + BLOCK]) for i in range(0, len(near), BLOCK)])
         picked = []
         for k in np.flatnonzero(learns).tolist():
@@ -297,12 +340,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = SEED) -> Net:
                 v += 0.01 * (gk * gk - v)
                 rate_k = 0.01 if k not in {"word", "char"} else 0.004
                 net.p[k] -= (rate_k * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    # the logit that parts the classes best becomes 0, on rows set aside where they have both classes
-    x = net.projected(net.inputs(word, grams, starts))
-    judged = np.flatnonzero(~learns if min((y[~learns] == 1).sum(), (y[~learns] == 0).sum()) >= 5 else np.ones(len(y), bool))
-    flat = np.vstack([every[i] for i in judged])
-    first = np.cumsum([0, *[len(every[i]) for i in judged]])
-    logits = np.concatenate([net.run(x, flat[i : i + BLOCK]) for i in range(0, len(flat), BLOCK)])
+    # the logit that parts the classes best becomes 0
+    first = np.cumsum([0, *[len(w) for w in every]])
+    seen, near = _numbered(np.vstack(every), len(word))
+    x = net.projected(inputs_of(seen))
+    logits = np.concatenate([net.run(x, near[i : i + BLOCK]) for i in range(0, len(near), BLOCK)])
     top, y = np.maximum.reduceat(logits, first[:-1]), y[judged]
     order = np.sort(top)
     edges = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
@@ -382,8 +424,8 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     # at most (1 + CLEAN) * each rows are numbered; the order is that of their choice, the classes in turn
     rank = F.row_number().over(Window.partitionBy("__y").orderBy(*order)) / F.when(F.col("__y") == 1, 1).otherwise(CLEAN)
     upto = F.sum(F.length(text).cast("long")).over(Window.orderBy("__r", "__y", key))
-    got = rows.withColumn("__r", rank).withColumn("__n", upto).where(F.col("__n") <= FIT_TEXT).select(key, text, "__y").toPandas().sort_values([key, text])
-    return got[text].tolist(), got["__y"].astype(int).tolist()
+    got = sorted(rows.withColumn("__r", rank).withColumn("__n", upto).where(F.col("__n") <= FIT_TEXT).select(key, text, "__y").collect(), key=lambda r: (r[0] != r[0], *r[:2]))
+    return [r[1] for r in got], [r[2] for r in got]
 
 
 def score(docs: DataFrame, net: Net, keep: list[str] | None = None, text: str = "text", out: str = "score") -> DataFrame:

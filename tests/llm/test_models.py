@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -225,6 +226,30 @@ def test_long_runs_are_read_to_their_end():
     assert net.odds[b].max() > net.odds[a].max()
 
 
+def test_toxicity_features_in_blocks_are_those_of_each_word(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    vocabulary = ["a", "ab", "éà", "中", "😀b", "x" * 32, *(f"w{i}" for i in range(30))]
+    word, grams, starts = toxicity.features(vocabulary)
+    alone = [toxicity.features([w]) for w in vocabulary]
+    assert word.tolist() == [int(w[0]) for w, _, _ in alone]
+    assert [g.tolist() for g in np.split(grams, starts[1:])] == [g.tolist() for _, g, _ in alone]
+    assert [len(x) for x in toxicity.features([])] == [0, 0, 0]
+
+
+def test_toxicity_fit_takes_little_memory_beside_its_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ROUNDS", 1)
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(60_000)]
+    texts = [" ".join(vocabulary[i : i + 1000]) for i in range(0, len(vocabulary), 1000)]
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, [int(i % 4 == 0) for i in range(len(texts))])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1500 * len(vocabulary)  # 2,400 a word where the n-grams of all words were sorted at once, 1,000 by blocks
+
+
 def test_all_windows_overlap():
     for n in (1, 31, 32, 33, 48, 49, 500):
         w = toxicity.windows(np.arange(1, n + 1))
